@@ -13,6 +13,8 @@ other columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -23,39 +25,62 @@ from pyspark.sql import functions as F
 
 from millrace.storage import materialise
 
-MEMO_ENTRIES = 300_000  # words remembered by a task; the memory is bounded, the result does not depend on it
+MEMO_ENTRIES = 400_000  # words remembered by a task; the memory is bounded, the result does not depend on it
+ODD_CASE = {"\u0130", "\u03a3"}  # their small forms are two characters, or depend on the place
 SEPARATOR = np.array([0], "<u4").tobytes()
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds:
-    """Token ids of white-space separated words, as little-endian 32-bit bytes.
+    """Token ids of words between spaces, as little-endian 32-bit bytes.
 
-    The tokenizer never merges across a space or a line feed, so a text's ids are the
-    ids of its words in a row.  Other white space stays within a word, for the
-    tokenizer itself to handle.
+    The tokenizer lower-cases and never merges across a space, a line feed, or between a
+    letter and the punctuation after it, so a text's ids are the ids of its words in a row.
+    Words of letters are encoded many in one call: each ends in a word-end token.  All
+    other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str, entries: int = MEMO_ENTRIES):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.whole.get_vocab().items() if t.endswith("</w>")]] = True
+        self.tail = re.compile(r"(?<=[a-z])([!-&(-/:-@\[-^`{-~]+)(?=\s|$)").sub
         self.entries = entries
         self.memo: dict[str, bytes] = {"": b""}
 
+    def _words(self, text: str) -> list[str]:
+        text = text.replace("\n", " ")
+        if "<|" not in text and not any(c in text for c in ODD_CASE):  # special tokens stay as they are
+            text = self.tail(r" \1", text.lower())
+        return text.split(" ")
+
+    def _learn(self, missing: set[str]) -> None:
+        plain = [w for w in missing if w.isalpha() and w.islower() and (w.isascii() or unicodedata.is_normalized("NFC", w))]
+        other = list(missing.difference(plain))
+        ids = np.array(self.letters.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(stops) == len(plain):
+            data, at = ids.tobytes(), 0
+            for word, stop in zip(plain, stops.tolist(), strict=True):
+                self.memo[word] = data[at:stop]
+                at = stop
+        else:
+            other += plain
+        for word, e in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.memo[word] = np.array(e.ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.memo
-        missing = list(set().union(*words).difference(known))
-        if len(known) + len(missing) > self.entries:
-            known = self.memo = {"": b""}
-            missing = list(set().union(*words).difference(known))
-        for k in range(0, len(missing), 4096):
-            part = missing[k : k + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
+        words = [self._words(t) for t in texts]
+        missing = set().union(*words)
+        if len(self.memo) + len(missing.difference(self.memo)) > self.entries:
+            self.memo = {"": b""}
+        self._learn(missing.difference(self.memo))
+        get = self.memo.__getitem__
         for w in words:
             yield b"".join(map(get, w))
 
