@@ -77,9 +77,11 @@ class WordIds:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         words = [self._words(t) for t in texts]
         missing = set().union(*words)
-        if len(self.memo) + len(missing.difference(self.memo)) > self.entries:
+        missing.difference_update(self.memo)
+        if len(self.memo) + len(missing) > self.entries:
             self.memo = {"": b""}
-        self._learn(missing.difference(self.memo))
+            missing = set().union(*words, [""])
+        self._learn(missing)
         get = self.memo.__getitem__
         for w in words:
             yield b"".join(map(get, w))
