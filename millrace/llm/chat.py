@@ -19,6 +19,7 @@ gives an empty table; columns that no mapping names are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -141,12 +142,8 @@ def _mapped_from(layout: Layout, names: dict[str, str]) -> Column:
     if layout.messages:
         items, role, text = layout.messages
         return _mapped(Layout(layout.name, layout.paths, (), (names[items], role, text)))
-    turns = []
-    for role, text in layout.turns:
-        for field in sorted(names, key=len, reverse=True):
-            text = text.replace(field, f"`{names[field]}`") if f"_{field}`" not in text else text
-        turns.append((role, text))
-    return _mapped(Layout(layout.name, layout.paths, tuple(turns)))
+    known = re.compile(r"\b(" + "|".join(names) + r")\b")
+    return _mapped(Layout(layout.name, layout.paths, tuple((role, known.sub(lambda m: f"`{names[m[1]]}`", text)) for role, text in layout.turns)))
 
 
 def escape(text: Column) -> Column:
