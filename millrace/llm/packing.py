@@ -112,9 +112,31 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def plan_packing(histogram: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
+Plan = list[tuple[list[tuple[int, int]], int]]
+
+
+def plan_packing(histogram: dict[int, int], capacity: int) -> Plan:
     """Sequence patterns ([(length, copies)...], multiplicity) that use up the histogram.
 
+    Exact complements of up to three pieces spend small pieces that later lengths may need,
+    so plans with complements of at most 3, 2, 1 and 0 pieces are made and the one with the
+    fewest sequences is taken, the deepest of equals.
+    """
+    floor = -(-sum(x * n for x, n in histogram.items()) // capacity)
+    best: tuple[int, Plan] | None = None
+    for depth in (3, 2, 1, 0):
+        plan = _plan(histogram, capacity, depth)
+        size = sum(times for _, times in plan)
+        if best is None or size < best[0]:
+            best = (size, plan)
+        if size == floor:
+            break
+    return best[1] if best else []
+
+
+def _plan(histogram: dict[int, int], capacity: int, depth: int) -> Plan:
+    """A plan with exact complements of at most ``depth`` pieces.
+
     Lengths are taken from the largest.  A gap is closed exactly by one piece, else by a
     pair, else by a triple, found by hashing sums of available lengths; a combination is
     consumed as often as the availability counts allow.  What has no exact complement is
@@ -124,7 +146,7 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> list[tuple[list[tu
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
-    out: list[tuple[list[tuple[int, int]], int]] = []
+    out: Plan = []
 
     def pattern(lengths: list[int]) -> tuple[list[tuple[int, int]], int]:
         uses: dict[int, int] = {}
@@ -151,13 +173,13 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> list[tuple[list[tu
         gap = capacity - length
         if gap == 0:
             return []
-        if left[gap] > (gap == length):
+        if depth >= 1 and left[gap] > (gap == length):
             return [gap]
-        if found := pair(gap, [length]):
+        if depth >= 2 and (found := pair(gap, [length])):
             return found
         # triples: sums of pairs of available lengths, looked up by what a third piece leaves
         here = np.flatnonzero(left[: gap - 1])
-        if not len(here):
+        if depth < 3 or not len(here):
             return None
         there = np.zeros(gap + 1, bool)
         there[here] = True
