@@ -112,7 +112,9 @@ def search_shard(index: dict, queries: np.ndarray, ids: np.ndarray, k: int, fact
     hit_q, hit_x = np.nonzero(dots >= (worst - 1e-9 * radius**2)[:, None])
     keep = np.isfinite(dots[hit_q, hit_x])
     hit_q, hit_x = hit_q[keep], hit_x[keep]
-    score = (queries[hit_q] * x[hit_x]).sum(1)
+    score = np.zeros(len(hit_q))
+    for d in range(x.shape[1]):  # summed in order of dimensions: equal vectors score equally, whatever stands beside them
+        score += queries[hit_q, d] * x[hit_x, d]
     out: tuple[list, list, list] = ([], [], [])
     for one in np.split(np.arange(len(hit_q)), np.searchsorted(hit_q, np.arange(1, len(q)))):
         if not len(one):

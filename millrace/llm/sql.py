@@ -40,7 +40,7 @@ WITH v AS (
         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), s AS (
-    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS score
+    SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2])) AS score
     FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0
 )
 SELECT query_id, rank, vec_id, score FROM (
