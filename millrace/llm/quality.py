@@ -15,7 +15,7 @@ rows, dealt by a hash of the id; scoring is one pass over whole texts without a
 Defined results: a null text counts as empty, an empty text has features of zero and gets
 a score like any other; labels that repeat count once, with the larger value, null labels
 not at all; an empty table gives an empty table; without labelled positives every score
-is 0.5.  Other columns pass through ``score_texts``; a column named ``score`` is replaced.
+is 0.5.  Other columns pass through ``score_texts``; one named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -168,16 +168,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000,
     return model
 
 
-def score_texts(docs: DataFrame, model: QualityModel | None) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1, higher: label 1 likelier); no shuffle."""
-    kept = [c for c in docs.columns if c != "score"]
+def score_texts(docs: DataFrame, model: QualityModel | None, name: str = "score") -> DataFrame:
+    """``docs`` with a score (0 to 1, higher: label 1 likelier); no shuffle."""
+    kept = [c for c in docs.columns if c != name]
     at = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([text_features(t) for t in batch.column(at).to_pylist()]).reshape(-1, N_FEATURES)
             y = model.score(x) if model else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y, pa.float64())], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y, pa.float64())], [*kept, name])
 
     source = docs.select(*kept)
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType())]))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -398,6 +398,20 @@ def test_lookup_spans_blocks_and_segments(spark):
 # --- pipeline
 
 
+def test_pipeline_stages_odd_rows(spark, sf_dir, odd):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    d = odd.withColumn("source", F.lit("s"))
+    kept = d
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, d, sf_dir)
+        assert out.columns == d.columns and stage(spark, d.limit(0), sf_dir).count() == 0
+        if name == "near_dedup":
+            kept = out
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == [1, 3, 5] and ids.count(None) == 1
+    assert pipeline.STAGES[-1][1](spark, kept, sf_dir).count() > 3
+
+
 def test_pipeline(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
