@@ -23,6 +23,11 @@ def run_hash(manifest: dict) -> str:
     return content_hash({k: v for k, v in manifest.items() if k not in ("created_at", "notes")})
 
 
+def job_key(value: object) -> str:
+    """Short key of a job's inputs and settings."""
+    return content_hash(value)[:16]
+
+
 def directory_hash(files: DataFrame, root: str, ignored: tuple[str, ...] = ("_SUCCESS", "manifest.json", "stats.json")) -> DataFrame:
     """One hash of a folder from a ``binaryFile`` listing: of relative paths and content hashes in order of path."""
     name = F.element_at(F.split("path", "/"), -1)

@@ -132,3 +132,93 @@ def test_materialise_keeps_schema_and_empty_tables(spark):
     df = spark.createDataFrame([], "a long, b string")
     assert materialise(df, "t").schema == df.schema
     assert materialise(df, "t").count() == 0
+
+
+def test_causal_loss(spark):
+    from math import log
+
+    from millrace.operators.vectors import causal_loss
+
+    flat = [[0.0] * 5] * 4
+    df = spark.createDataFrame([(flat, [9, 1, 2, 3]), (flat, [-100, -100, -100, 4]), (flat[:1], [1])], "logits array<array<double>>, labels array<int>")
+    df = df.withColumn("labels", F.transform("labels", lambda x: F.when(x == 9, 0).otherwise(x)))
+    got = [r.x for r in df.select(causal_loss(F.col("logits"), F.col("labels")).alias("x")).collect()]
+    assert [x.tokens for x in got] == [3, 1, 0]
+    assert got[0].sum_nll == pytest.approx(3 * log(5)) and got[1].sum_nll == pytest.approx(log(5)) and got[2].sum_nll == 0
+
+
+def test_artifact_registry(spark, tmp_path):
+    from millrace.operators.stores import ArtifactRegistry
+
+    r = ArtifactRegistry(spark, str(tmp_path / "artifacts"))
+    assert r.register(artifact_id="a", artifact_type="pool", version="1", path="p") and not r.register(artifact_id="a", artifact_type="pool", version="1", path="p")
+    with pytest.raises(ValueError):
+        r.register(artifact_id="a", artifact_type="pool", version="2", path="p")
+    r.register(artifact_id="b", artifact_type="pool", version="2", path="q", parent_artifact_ids=["a"])
+    r.register(artifact_id="c", artifact_type="pool", version="3", path="q", complete=False)
+    assert r.resolve("pool").artifact_id == "b" and r.resolve("none") is None and r.list_artifacts().count() == 3
+    assert [x.ancestor for x in r.ancestors("b").collect()] == ["a"]
+
+
+def test_state_store(spark, tmp_path):
+    from millrace.operators.stores import StateStore
+
+    s = StateStore(spark, str(tmp_path / "jobs"), "run")
+    for job, steps in {"a": ["PENDING", "RUNNING", "FAILED", "RUNNING", "SUCCEEDED"], "b": ["PENDING", "RUNNING", "REVIEW"]}.items():
+        for status in steps:
+            s.transition(job, status)
+    assert s.rows().count() == 8 and s.get("a") == "SUCCEEDED" and [r.job_id for r in s.resumable().collect()] == ["b"]
+    for job, status, expected in (("a", "RUNNING", None), ("b", "RUNNING", "FAILED"), ("new", "RUNNING", None)):
+        with pytest.raises(ValueError):
+            s.transition(job, status, expected)
+
+
+def test_config(tmp_path, monkeypatch):
+    from millrace.operators.lineage import job_key, run_hash
+    from millrace.sources.config import deep_merge, resolve_path, write_json, write_once
+
+    monkeypatch.setenv("HERE", str(tmp_path))
+    assert resolve_path("$HERE/x", "root") == tmp_path / "x"
+    with pytest.raises(ValueError):
+        resolve_path("${NOT_SET_ANYWHERE}/x", "root")
+    assert deep_merge({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}, {"d": [1]}) == {"a": {"b": 3, "c": 2}, "d": [1]}
+    write_json({"a": 1}, tmp_path / "r.json")
+    with pytest.raises(FileExistsError):
+        write_json({"a": 2}, tmp_path / "r.json")
+    with pytest.raises(ValueError):
+        write_json({"a": float("nan")}, tmp_path / "n.json")
+    assert write_once({"steps": 1, "notes": "x"}, tmp_path / "m.json", run_hash) and not write_once({"steps": 1, "notes": "y"}, tmp_path / "m.json", run_hash)
+    with pytest.raises(FileExistsError):
+        write_once({"steps": 2}, tmp_path / "m.json", run_hash)
+    assert len(job_key({"a": 1})) == 16
+
+
+def test_jsonl_and_parquet_never_overwrite(spark, tmp_path):
+    from millrace.sources import io
+
+    df = spark.createDataFrame([(1, "x")], "a long, b string")
+    io.write_jsonl(df, str(tmp_path / "j"))
+    io.write_parquet(df, str(tmp_path / "p"))
+    for again in (lambda: io.write_jsonl(df, str(tmp_path / "j")), lambda: io.write_parquet(df, str(tmp_path / "p"))):
+        with pytest.raises(Exception, match="(?i)exist"):
+            again()
+    (tmp_path / "bad.jsonl").write_text('{"a": 1}\n\n   \n{"a": \n')
+    with pytest.raises(Exception):
+        io.read_jsonl(spark, str(tmp_path / "bad.jsonl"), "a long").collect()
+    assert [r.error for r in io.read_jsonl_tolerant(spark, str(tmp_path / "bad.jsonl"), "a long").collect()] == [None, "invalid_json"]
+    assert io.missing_columns(df, ["a", "z"]) == ["z"]
+
+
+def test_image_formats(spark):
+    heads = [bytes.fromhex("FFD8FFE0"), b"\x89PNG\r\n\x1a\n", b"RIFF\0\0\0\0WEBPVP8 ", b"GIF89a"]
+    assert col(spark, heads, T.image_format, "binary") == ["JPEG", "PNG", "WEBP", None]
+
+
+def test_entry_runs(spark):
+    import __spark_entry__
+
+    df = __spark_entry__.entry(spark)
+    assert df.columns == ["source", "bucket", "doc_id", "copy_no", "exposure"] and df.count() == 400
+    counts = {(r.source): r["count"] for r in df.groupBy("source").count().collect()}
+    assert counts == {"main": 320, "replay_vl": 60, "replay_text": 20}
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and np.isnan(value)):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and np.isnan(value)):
         return "null"
     if isinstance(value, (bool, np.bool_)):
         return str(int(value))
