@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: kinds of pieces in a model file
 UNIGRAM, BPE = 1, 2  # fixed values: kinds of models
-MEMO_WORDS, MEMO_PAIRS = 400_000, 1_000_000
+MEMO_WORDS, MEMO_PAIRS = 400_000, 500_000
 INFINITE = float("inf")
 
 
@@ -88,6 +88,15 @@ class PieceTransducer:
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.memo: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.splits: dict[str, tuple[str, str] | None] = {}
+        self.ranks = {p: k for k, (p, _) in enumerate(sorted(self.scores.items(), key=lambda x: -x[1]))}
+        self.latest = len(self.ranks) + 1
+        self.heads: dict[str, str] = {}
+        self.prefixes: dict[str, bool] = {}
+        for p in self.ids:
+            for k in range(2, len(p)):
+                self.prefixes.setdefault(p[:k], False)
+            self.prefixes[p] = True
         surface = [b"" if k in (CONTROL, UNUSED) else bytes([int(p[1:-1], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, k in self.pieces]
         self.lengths = np.array([len(b) for b in surface], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
@@ -99,15 +108,15 @@ class PieceTransducer:
         text = text.replace(" ", SPACE)
         return SPACE + text if self.prefix and text else text
 
-    def merged(self, text: str) -> list[str]:
-        """Characters merged by descending score of the result, the leftmost first among equals."""
+    def merged(self, text: str, without: str = "") -> list[str]:
+        """Characters merged by descending score of the result, the leftmost first among equals, ``without`` one piece."""
         part, after, before = list(text), list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
         heap = [(-self.scores[text[k : k + 2]], k, text[k : k + 2]) for k in range(len(text) - 1) if text[k : k + 2] in self.scores]
         heapq.heapify(heap)
         while heap:
             _, k, joined = heapq.heappop(heap)
             nxt = after[k]
-            if not part[k] or nxt >= len(part) or part[k] + part[nxt] != joined:
+            if joined == without or not part[k] or nxt >= len(part) or part[k] + part[nxt] != joined:
                 continue
             part[k], part[nxt], after[k] = joined, "", after[nxt]
             if after[k] < len(part):
@@ -117,14 +126,94 @@ class PieceTransducer:
                     heapq.heappush(heap, (-self.scores[new], left, new))
         return [p for p in part if p]
 
+    def last_merge(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces that merge into this one at last, null if merging never makes it."""
+        if piece not in self.splits:
+            parts = self.merged(piece, piece)
+            self.splits[piece] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self.splits[piece]
+
     def stands(self, left: str, right: str) -> bool:
-        """Whether the step from one piece to the other has weight 0."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= MEMO_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
-        return known
+        """Whether the step from one piece to the other has weight 0, that is merging gives both back.
+
+        The merges along the border are undone, the latest first.  The two pieces that then meet
+        at the border must not merge before the later ones were made; equal scores merge from the left.
+        """
+        limit = self.latest
+        ranks, splits = self.ranks, self.splits
+        while True:
+            crossing = ranks.get(left + right)
+            if crossing is not None and crossing < limit:
+                return False
+            a, b = ranks.get(left, -1) if len(left) > 1 else -1, ranks.get(right, -1) if len(right) > 1 else -1
+            if a > b:
+                limit, left = a, (splits.get(left) or self.last_merge(left))[1]
+            elif b >= 0:
+                limit, right = b + 1, (splits.get(right) or self.last_merge(right))[0]
+            else:
+                return True
+
+    def _longest(self, word: str, begin: int) -> str:
+        """The longest piece at a place; a single character is always one."""
+        prefixes, best = self.prefixes, word[begin]
+        for at in range(begin + 2, min(len(word), begin + self.longest) + 1):
+            piece = word[begin:at]
+            known = prefixes.get(piece)
+            if known is None:
+                break
+            if known:
+                best = piece
+        if best in self.ids and len(best) > 1 and not self.last_merge(best):
+            return self._shorter(best)
+        return best
+
+    def _shorter(self, piece: str) -> str:
+        """The longest piece that a piece starts with, empty for a character."""
+        if piece not in self.heads:
+            head = piece[:-1]
+            while len(head) > 1 and not (head in self.ids and self.last_merge(head)):
+                head = head[:-1]
+            self.heads[piece] = head
+        return self.heads[piece]
+
+    def _free_path(self, word: str) -> list[str] | None:
+        """The path of weight 0, the longest pieces tried first.
+
+        A prefix of the word has one path of weight 0, so a place from which the end was not
+        reached is never tried again.
+        """
+        n, at, out = len(word), 0, []
+        dead = [False] * (n + 1)
+        pairs = self.pairs
+        if len(pairs) >= MEMO_PAIRS:
+            pairs.clear()
+        piece = self._longest(word, 0)
+        while True:
+            while piece:
+                end = at + len(piece)
+                if not dead[end]:
+                    if not out:
+                        break
+                    step = (out[-1], piece)
+                    free = pairs.get(step)
+                    if free is None:
+                        free = pairs[step] = self.stands(*step)
+                    if free:
+                        break
+                piece = self._shorter(piece)
+            if piece:
+                out.append(piece)
+                at = end
+                if at == n:
+                    return out
+                piece = self._longest(word, at)
+            elif out:
+                dead[at] = True
+                piece = out.pop()
+                at -= len(piece)
+                piece = self._shorter(piece)
+            else:
+                return None
 
     def _path(self, word: str) -> list[str]:
         """Pieces of the shortest path through the lattice of a word."""
@@ -134,21 +223,7 @@ class PieceTransducer:
                 run = len(word) - len(word.lstrip(SPACE))
                 if run > 2 or n == run:
                     return self.merged(word)
-            last: list[str] = [""] * (n + 1)
-            for at in range(1, n + 1):
-                for begin in range(max(0, at - self.longest), at):
-                    piece = word[begin:at]
-                    if piece in self.ids or begin == at - 1:
-                        if (begin == 0 or last[begin]) and self.stands(last[begin], piece):
-                            last[at] = piece
-                            break
-            if not last[n]:
-                return self.merged(word)
-            out = []
-            while n:
-                out.append(last[n])
-                n -= len(last[n])
-            return out[::-1]
+            return self._free_path(word) or self.merged(word)
         cost, last = [0.0] + [INFINITE] * n, [""] * (n + 1)
         for at in range(1, n + 1):
             for begin in range(max(0, at - self.longest), at):
