@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from millrace.storage import materialise
 
-WORDS, MEMO_WORDS, CHUNK, BLOCK = 5, 400_000, 2048, 256
+WORDS, MEMO_WORDS, CHUNK, BLOCK = 5, 400_000, 2048, 512
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 GRID = 1 << 16
 
@@ -241,44 +241,55 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.unionByName(ends.select(F.col("comp").alias("id"), "comp")).distinct()
 
 
-def _forest_pairs(mixed: DataFrame, least: float) -> DataFrame:
-    """Pairs of texts of different components in one bucket, block by block.
+def _forest_pairs(named: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of texts of different components in one bucket, block by block.
 
-    ``mixed`` has bucket, n (its size), id, comp, sig.  Of each two blocks the edges of a
-    maximal spanning forest over components are given, the most alike first.
+    ``named`` has bucket, id, comp.  Texts of a bucket's largest component are not compared with
+    each other; the others meet all texts of the bucket, in blocks of ``BLOCK`` against blocks of
+    ``BLOCK``.  Of each two blocks the edges of a maximal spanning forest over components are
+    given, the most alike first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for ids, comps, sigs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(ids), -1)
-                comp, found = np.array(comps), []
-                for k in range(0, len(ids), 64):
-                    alike = (x[k : k + 64, None, :] == x[None, :, :]).mean(2)
-                    i, j = np.nonzero((alike >= least) & (comp[k : k + 64, None] < comp[None, :]))
+            for rows in batch.column(0).to_pylist():
+                rows.sort(key=lambda r: r["id"])
+                one, other = ([r for r in rows if r["minor"] is side] for side in (True, False))
+                if not one or not other:
+                    continue
+                x, y = (np.frombuffer(b"".join(r["sig"] for r in side), np.uint16).reshape(len(side), -1) for side in (one, other))
+                p, q = (np.array([r["comp"] for r in side]) for side in (one, other))
+                found = []
+                for k in range(0, len(one), 64):
+                    alike = (x[k : k + 64, None, :] == y[None, :, :]).mean(2)
+                    i, j = np.nonzero((alike >= least) & (p[k : k + 64, None] != q[None, :]))
                     found.append(np.stack([alike[i, j], i + k, j], 1))
-                parent: dict[int, int] = {}
-
-                def top(c: int, parent: dict[int, int] = parent) -> int:
-                    while c in parent:
-                        c = parent[c]
-                    return c
-
                 edges = np.concatenate(found)
+                parent: dict[int, int] = {}
                 for i, j in edges[np.argsort(-edges[:, 0], kind="stable"), 1:].astype(int).tolist():
-                    p, q = top(comps[i]), top(comps[j])
-                    if p != q:
-                        parent[p] = q
-                        a.append(max(ids[i], ids[j]))
-                        b.append(min(ids[i], ids[j]))
+                    s, t = one[i]["comp"], other[j]["comp"]
+                    while s in parent:
+                        s = parent[s]
+                    while t in parent:
+                        t = parent[t]
+                    if s != t:
+                        parent[max(s, t)] = min(s, t)
+                        ends = (one[i]["id"], other[j]["id"])
+                        a.append(max(ends))
+                        b.append(min(ends))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = mixed.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = dealt.select("bucket", "id", "comp", "sig", "block", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    grouped = pairs.groupBy("bucket", "lo", "hi").agg(F.collect_list(F.struct("id", "comp", "sig")).alias("rows"))
-    return grouped.select("rows.id", "rows.comp", "rows.sig").mapInArrow(run, "a long, b long").distinct()
+    sizes = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("top"), F.sum("n").alias("n")).where("n > top")
+    counts = mixed.select("bucket", "major", F.ceil(F.col("n") / BLOCK).cast("int").alias("alls"), F.ceil((F.col("n") - F.col("top")) / BLOCK).cast("int").alias("minors"))
+    d = named.join(counts, "bucket").join(sigs, "id")
+    block = lambda c, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = d.where("comp <> major").select("bucket", "id", "comp", "sig", F.lit(True).alias("minor"), block("minors", 1).alias("x"), every("alls").alias("y"))
+    right = d.select("bucket", "id", "comp", "sig", F.lit(False).alias("minor"), every("minors").alias("x"), block("alls", 2).alias("y"))
+    grouped = left.unionByName(right).groupBy("bucket", "x", "y").agg(F.collect_list(F.struct("id", "comp", "sig", "minor")).alias("rows"))
+    return grouped.select("rows").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 5, saturation: float = 3.0, most_rounds: int = 4) -> DataFrame:
@@ -305,8 +316,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, ro
     comps = components(links)
     for _ in range(most_rounds):
         named = members.join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-        mixed = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y").select("bucket", "n")
-        pairs = _forest_pairs(named.join(mixed, "bucket").join(sigs, "id"), least)
+        pairs = _forest_pairs(named, sigs, least)
         fresh = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
         if fresh.isEmpty():
             break
