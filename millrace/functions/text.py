@@ -10,6 +10,7 @@ COLORS = ("gray", "red", "blue", "green", "brown", "purple", "cyan", "yellow")
 MATERIALS = ("rubber", "metal")
 SHAPES = ("cube", "sphere", "cylinder")
 SIZES = ("small", "large")
+RELATIONS = ("left", "right", "front", "behind", "above", "below")
 COMPARISONS = ("equal_integer", "greater_than", "less_than")
 BOOLEAN_OPS = ("exist", "equal_color", "equal_material", "equal_shape", "equal_size")
 
@@ -30,15 +31,15 @@ def normalise_v2(c: Column) -> Column:
 
 def parse_letter(c: Column) -> Column:
     """The letter of an answer that is just A to D, bare or in brackets, else null."""
-    pattern = r"\A(?U)\s*(?:([A-Da-d])|\(([A-Da-d])\)|\[([A-Da-d])\])\s*[.。]?\s*\z"
+    pattern = r"\A(?U)\s*(?:([A-Da-d])|\(([A-Da-d])\)|\[([A-Da-d])\])[.。]?\s*\z"
     return F.upper(F.coalesce(*[F.nullif(F.regexp_extract(c, pattern, k), F.lit("")) for k in (1, 2, 3)]))
 
 
 def short_answer(c: Column, max_words: int = 3) -> Column:
     """Whether a text is one to three plain words, or a number."""
-    t = F.regexp_replace(F.lower(F.trim(c)), r"\A\.+|\.+\z", "")
+    t = F.regexp_replace(F.lower(c), r"\A\.+|\.+\z", "")
     words = F.size(F.split(F.trim(c), r"\s+"))
-    return (words <= max_words) & (t.rlike(r"\A[a-z]+([ -][a-z]+){0,2}\z") | t.rlike(r"\A-?\d+(\.\d+)?\z"))
+    return (words <= max_words) & (t.rlike(r"\A[a-z]+([ -][a-z]+){0,2}\z") | t.rlike(r"\A\d+(\.\d+)?\z"))
 
 
 def task_of(function: Column) -> Column:
@@ -67,8 +68,10 @@ def difficulty(length: Column, relations: Column) -> Column:
 
 
 def answer_group(c: Column) -> Column:
+    """Answer space of a normalised answer."""
+    c = normalise_v2(c)
     return (
-        F.when(c.rlike(r"\A\d+\z"), "integer")
+        F.when(c.rlike(r"(?U)\A\d+\z"), "integer")
         .when(c.isin(*COLORS), "color")
         .when(c.isin(*MATERIALS), "material")
         .when(c.isin(*SHAPES), "shape")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-IMAGE = "<image>"
+from millrace.functions.text import occurrences
+
+#: Image markers of stored and of normalised dialogues.
+PAD, IMAGE = "<|image_pad|>", "<image>"
 
 
 def dialogues(turns: DataFrame) -> DataFrame:
@@ -14,25 +17,35 @@ def dialogues(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(m.alias("messages"))
 
 
-def normalised(messages: str = "messages", marker: str = IMAGE) -> Column:
-    """Turns with the marker removed and texts trimmed."""
-    return F.transform(messages, lambda t: F.struct(t["role"].alias("role"), F.trim(F.replace(F.coalesce(t["text"], F.lit("")), F.lit(marker), F.lit(""))).alias("content")))
+def normalised(messages: str = "messages", text: str = "text") -> Column:
+    """Turns with the image marker in one form and texts trimmed; a null text stays null."""
+    trim = lambda c: F.regexp_replace(F.replace(c, F.lit(PAD), F.lit(IMAGE)), r"(?U)\A\s+|\s+\z", "")
+    return F.transform(messages, lambda t: F.struct(t["role"].alias("role"), trim(t[text]).alias("content")))
+
 
+def reason(turns: str = "turns", tools: Column | None = None, images: Column | None = None, placeholder: Column | None = None) -> Column:
+    """First reason to reject a dialogue, else ``accepted``; the order of the tests is part of the result.
 
-def reason(turns: str = "turns", modality_markers: Column | None = None) -> Column:
-    """First reason to reject a dialogue, else ``accepted``; the order of the tests is part of the result."""
-    roles = F.transform(turns, lambda t: t["role"])
-    first, second = F.get(roles, F.lit(0)), F.get(roles, F.lit(1))
-    content = lambda k: F.get(F.transform(turns, lambda t: t["content"]), F.lit(k))
-    markers = modality_markers if modality_markers is not None else F.lit(0)
+    ``tools`` tells that a turn calls tools, ``images`` is the number of images, ``placeholder``
+    that the only one is a blank; without them there are none.
+    """
+    no = F.lit(False)
+    tools, images, placeholder = tools if tools is not None else no, images if images is not None else F.lit(0), placeholder if placeholder is not None else no
+    roles = F.array_join(F.transform(turns, lambda t: F.coalesce(t["role"], F.lit(""))), ",")
+    user = F.get(F.filter(turns, lambda t: t["role"] == "user"), F.lit(0))["content"]
+    answer = F.try_element_at(F.col(turns), F.lit(-1))["content"]
+    markers = F.aggregate(F.transform(turns, lambda t: occurrences(t["content"], IMAGE)), F.lit(0).cast("long"), lambda a, x: a + x)
+    with_image = (markers == 1) & F.contains(user, F.lit(IMAGE)) & (images == 1) & ~placeholder
+    text_only = (markers == 0) & ((images == 0) | placeholder)
     return (
-        F.when(F.col(turns).isNull() | (F.size(turns) == 0), "invalid_dialogue")
-        .when(F.exists(turns, lambda t: t["role"] == "tool"), "tool_sample")
-        .when(F.exists(turns, lambda t: ~t["role"].isin("system", "user", "assistant")), "invalid_content")
-        .when((F.size(turns) != 2) | (first != "user") | (second != "assistant"), "unsupported_dialogue")
-        .when((F.length(content(0)) == 0) | (F.length(content(1)) == 0), "invalid_qa")
-        .when(markers > 1, "multi_image")
-        .otherwise("accepted")
+        F.when(F.col(turns).isNull() | F.exists(turns, lambda t: t.isNull()), "invalid_dialogue")
+        .when(~roles.isin("user,assistant", "system,user,assistant"), "unsupported_dialogue")
+        .when(F.exists(turns, lambda t: t["content"].isNull()), "invalid_content")
+        .when(tools, "tool_sample")
+        .when((user == "") | (answer == "") | F.contains(answer, F.lit(IMAGE)), "invalid_qa")
+        .when(images > 1, "multi_image")
+        .when(with_image | text_only, "accepted")
+        .otherwise("ambiguous_modality")
     )
 
 

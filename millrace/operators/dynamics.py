@@ -10,11 +10,11 @@ def transition(before: Column, now: Column) -> Column:
     """Label of a step between two observations; null is not scored, never false."""
     return (
         F.when(now.isNull(), "not_scored")
-        .when(before.isNull(), "first_scored")
+        .when(before.isNull(), "first_observation")
         .when(before & ~now, "forgotten")
         .when(~before & now, "learned")
-        .when(now, "kept_correct")
-        .otherwise("kept_wrong")
+        .when(now, "stable_correct")
+        .otherwise("stable_wrong")
     )
 
 

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 #: Allowed transitions of a job.
 ALLOWED = {
-    "PENDING": ("RUNNING", "STALE"),
+    "PENDING": ("RUNNING", "SKIPPED"),
     "RUNNING": ("SUCCEEDED", "FAILED", "REVIEW", "STALE"),
     "FAILED": ("RUNNING",),
-    "REVIEW": ("RUNNING", "SUCCEEDED", "FAILED"),
+    "REVIEW": ("RUNNING",),
     "STALE": ("RUNNING",),
     "SUCCEEDED": (),
+    "SKIPPED": (),
 }
 RESUMABLE = ("FAILED", "STALE", "REVIEW")
 

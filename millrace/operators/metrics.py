@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import answer_group
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b as double, rounded to 9 digits, null for a zero denominator."""
@@ -46,6 +48,12 @@ def paired_change(df: DataFrame, sets: list[list[str]]) -> DataFrame:
     return d.withColumn("delta_pp", delta).withColumn("direction", direction)
 
 
+def error_mode(prediction: Column, answer: Column) -> Column:
+    """How a prediction fails: outside all answer spaces, within the right one, or in another."""
+    found, wanted = answer_group(prediction), answer_group(answer)
+    return F.when(prediction == answer, "correct").when(found == "other", "invalid_or_extra_text").when(found == wanted, "wrong_within_answer_space").otherwise("wrong_answer_space")
+
+
 def wilson(correct: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Lower and upper Wilson bound of a share, null for no rows."""
     p = F.try_divide(correct.cast("double"), n.cast("double"))

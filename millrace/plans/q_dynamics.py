@@ -10,7 +10,7 @@ from millrace.plans import views as V
 from millrace.plans.catalog import register
 
 _LAG = f"{V.HISTORY}, h AS (SELECT *, lag(correct) OVER w AS prev, lag(loss) OVER w AS prev_loss FROM history WINDOW w AS (PARTITION BY sample_id ORDER BY round))"
-_LABEL = "CASE WHEN correct IS NULL THEN 'not_scored' WHEN prev IS NULL THEN 'first_scored' WHEN prev AND NOT correct THEN 'forgotten' WHEN NOT prev AND correct THEN 'learned' WHEN correct THEN 'kept_correct' ELSE 'kept_wrong' END"
+_LABEL = "CASE WHEN correct IS NULL THEN 'not_scored' WHEN prev IS NULL THEN 'first_observation' WHEN prev AND NOT correct THEN 'forgotten' WHEN NOT prev AND correct THEN 'learned' WHEN correct THEN 'stable_correct' ELSE 'stable_wrong' END"
 
 
 @register("dyn_transitions", f"WITH {_LAG} SELECT sample_id, count(*) FILTER (prev AND NOT correct)::BIGINT AS forgetting_count, count(*) FILTER (NOT prev AND correct)::BIGINT AS learning_count, arg_max({_LABEL}, round) AS latest_transition FROM h GROUP BY sample_id")

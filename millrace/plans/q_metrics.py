@@ -119,14 +119,19 @@ def agg_majority_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy("task", "majority").agg(F.count("*").alias("n"), hits("prediction").alias("accuracy"), hits("majority").alias("baseline"))
 
 
-_MODE = "CASE WHEN prediction = answer THEN 'correct' WHEN prediction = '' THEN 'empty' WHEN prediction IN ('F', 'O', 'P') THEN 'same_group_wrong' ELSE 'other_group' END"
+_GROUP = "CASE WHEN regexp_full_match({0}, '[0-9]+') THEN 'integer' WHEN {0} IN ('gray','red','blue','green','brown','purple','cyan','yellow') THEN 'color' WHEN {0} IN ('rubber','metal') THEN 'material' ELSE 'other' END"
+_TYPED = f"t AS (SELECT task, answer, prediction, {_GROUP.format('answer')} AS ag, {_GROUP.format('prediction')} AS pg FROM (SELECT p_brand AS task, (['red','blue','metal','7'])[(p_partkey % 4 + 1)::INTEGER] AS answer, (['red','cyan','rubber','12','a long text'])[(p_partkey % 5 + 1)::INTEGER] AS prediction FROM part))"
 
 
-@register("agg_error_modes", f"WITH {_ORDERS} SELECT task, {_MODE} AS mode, count(*)::BIGINT AS n FROM o GROUP BY ALL")
+@register(
+    "agg_error_modes",
+    f"WITH {_TYPED} SELECT task, CASE WHEN prediction = answer THEN 'correct' WHEN pg = 'other' THEN 'invalid_or_extra_text' WHEN pg = ag THEN 'wrong_within_answer_space' ELSE 'wrong_answer_space' END AS mode, count(*)::BIGINT AS n FROM t GROUP BY ALL",
+)
 def agg_error_modes(spark: SparkSession, sf: str) -> DataFrame:
-    p, a = F.col("prediction"), F.col("answer")
-    mode = F.when(p == a, "correct").when(p == "", "empty").when(p.isin("F", "O", "P"), "same_group_wrong").otherwise("other_group")
-    return _answers(spark, sf).groupBy("task", mode.alias("mode")).agg(F.count("*").alias("n"))
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % len(values) + 1).cast("int"))
+    d = V.table(spark, sf, "part").select(F.col("p_brand").alias("task"), pick(["red", "blue", "metal", "7"]).alias("answer"), pick(["red", "cyan", "rubber", "12", "a long text"]).alias("prediction"))
+    mode = M.error_mode(F.col("prediction"), F.col("answer"))
+    return d.groupBy("task", mode.alias("mode")).agg(F.count("*").alias("n"))
 
 
 @register("agg_confusion", f"WITH {_ORDERS} SELECT answer, prediction, count(*)::BIGINT AS n FROM o WHERE answer <> prediction GROUP BY ALL")

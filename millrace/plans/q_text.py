@@ -31,9 +31,6 @@ def prj_trainer_rows(spark: SparkSession, sf: str) -> DataFrame:
     return V.table(spark, sf, "part").select("p_partkey", F.to_json(F.struct(F.col("p_name").alias("messages"), images.alias("images"))).alias("record"))
 
 
-_OLD, _NEW = "ed", "ed."
-
-
 @register(
     "prj_suffix_rewrite",
     "SELECT p_partkey, CASE WHEN c THEN left(p_type, length(p_type) - 5) || 'BRASS.' ELSE p_type END AS text, c AS changed FROM (SELECT *, p_size % 2 = 0 AND p_type LIKE '%BRASS' AS c FROM part)",
@@ -50,10 +47,10 @@ def prj_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", F.concat(F.lit("Question: "), F.replace("text", F.lit("the"), F.lit("<image>")), F.lit(" Answer:")).alias("prompt"))
 
 
-@register("flt_array_exists", f"WITH {V.PROGRAMS} SELECT question_id FROM programs WHERE len(list_filter(program, lambda s: s.\"function\" = 'relate' AND s.value_inputs[1] IN ('left', 'right', 'front', 'behind'))) > 0")
+@register("flt_array_exists", f"WITH {V.PROGRAMS} SELECT question_id FROM programs WHERE len(list_filter(program, lambda s: s.\"function\" = 'relate' AND s.value_inputs[1] IN ('left', 'right', 'front', 'behind', 'above', 'below'))) > 0")
 def flt_array_exists(spark: SparkSession, sf: str) -> DataFrame:
     p = V.programs(spark, sf)
-    return p.where(F.exists("program", lambda s: (s["function"] == "relate") & F.get(s["value_inputs"], F.lit(0)).isin("left", "right", "front", "behind"))).select("question_id")
+    return p.where(F.exists("program", lambda s: (s["function"] == "relate") & F.get(s["value_inputs"], F.lit(0)).isin(*T.RELATIONS))).select("question_id")
 
 
 @register("arr_filter_flatten", f"WITH {V.PROGRAMS} SELECT question_id, array_to_string(flatten(list_transform(list_filter(program, lambda s: s.\"function\" = 'relate'), lambda s: s.value_inputs)), ',') AS relations FROM programs")
@@ -92,7 +89,7 @@ def str_normalise_v2(spark: SparkSession, sf: str) -> DataFrame:
 _LETTERS = "list_value('A', ' b. ', '(C)', '[D]。', '', 'A or B', 'AB', 'E', 'The answer is A.', 'A' || chr(10) || 'x', 'd', '(a).')"
 
 
-@register("str_parse_letter", rf"SELECT p_partkey, nullif(upper(regexp_extract(t, '\A\s*[\(\[]?([A-Da-d])[\)\]]?\s*[.。]?\s*\z', 1)), '') AS letter FROM (SELECT p_partkey, ({_LETTERS})[(p_partkey % 12 + 1)::INTEGER] AS t FROM part)")
+@register("str_parse_letter", rf"SELECT p_partkey, nullif(upper(regexp_extract(t, '\A\s*[\(\[]?([A-Da-d])[\)\]]?[.。]?\s*\z', 1)), '') AS letter FROM (SELECT p_partkey, ({_LETTERS})[(p_partkey % 12 + 1)::INTEGER] AS t FROM part)")
 def str_parse_letter(spark: SparkSession, sf: str) -> DataFrame:
     texts = ["A", " b. ", "(C)", "[D]。", "", "A or B", "AB", "E", "The answer is A.", "A\nx", "d", "(a)."]
     t = F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % 12 + 1).cast("int"))
@@ -101,7 +98,7 @@ def str_parse_letter(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "str_short_answer",
-    r"""SELECT p_partkey, len(string_split_regex(trim(t), '\s+')) <= 3 AND (regexp_full_match(regexp_replace(lower(trim(t)), '\A\.+|\.+\z', '', 'g'), '[a-z]+([ -][a-z]+){0,2}') OR regexp_full_match(regexp_replace(lower(trim(t)), '\A\.+|\.+\z', '', 'g'), '-?\d+(\.\d+)?')) AS short
+    r"""SELECT p_partkey, len(string_split_regex(trim(t), '\s+')) <= 3 AND (regexp_full_match(regexp_replace(lower(t), '\A\.+|\.+\z', '', 'g'), '[a-z]+([ -][a-z]+){0,2}') OR regexp_full_match(regexp_replace(lower(t), '\A\.+|\.+\z', '', 'g'), '\d+(\.\d+)?')) AS short
     FROM (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_type WHEN 1 THEN CAST(p_size AS VARCHAR) ELSE p_brand END AS t FROM part)""",
 )
 def str_short_answer(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,7 +127,7 @@ def tag_answer(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "tag_answer_group",
     f"""SELECT p_partkey, CASE WHEN regexp_full_match(a, '[0-9]+') THEN 'integer' WHEN a = 'red' THEN 'color' WHEN a = 'metal' THEN 'material' WHEN a = 'cube' THEN 'shape' WHEN a = 'large' THEN 'size' WHEN a IN ('yes', 'no') THEN 'boolean' ELSE 'other' END AS answer_group
-    FROM (SELECT p_partkey, {_ANSWER_SQL} AS a FROM part)""",
+    FROM (SELECT p_partkey, lower({_ANSWER_SQL}) AS a FROM part)""",
 )
 def tag_answer_group(spark: SparkSession, sf: str) -> DataFrame:
     a = F.element_at(F.array(*map(F.lit, _ANSWERS)), (F.col("p_partkey") % 10 + 1).cast("int"))
@@ -142,7 +139,7 @@ def tag_difficulty(spark: SparkSession, sf: str) -> DataFrame:
     return V.programs(spark, sf).select("question_id", T.difficulty(F.col("p_size"), F.size("program") - 1).alias("difficulty"))
 
 
-_DIALOGUES = "m AS (SELECT conv_id, list({'role': role, 'content': trim(replace(coalesce(text, ''), '<image>', ''))} ORDER BY turn, role, text) AS turns FROM conversations GROUP BY conv_id)"
+_DIALOGUES = "m AS (SELECT conv_id, list({'role': role, 'content': regexp_replace(replace(text, '<|image_pad|>', '<image>'), '\\A\\s+|\\s+\\z', '', 'g')} ORDER BY turn, role, text) AS turns FROM conversations GROUP BY conv_id)"
 
 
 @register("conv_normalise", f"WITH {_DIALOGUES} SELECT conv_id, array_to_string(list_transform(turns, lambda t: t.role || ':' || t.content), '|') AS turns FROM m")
@@ -172,8 +169,9 @@ def conv_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "conv_reason_codes",
-    f"""WITH {_DIALOGUES} SELECT CASE WHEN len(list_filter(turns, lambda t: t.role = 'tool')) > 0 THEN 'tool_sample' WHEN len(list_filter(turns, lambda t: t.role NOT IN ('system', 'user', 'assistant'))) > 0 THEN 'invalid_content'
-    WHEN len(turns) <> 2 OR turns[1].role <> 'user' OR turns[2].role <> 'assistant' THEN 'unsupported_dialogue' WHEN turns[1].content = '' OR turns[2].content = '' THEN 'invalid_qa' ELSE 'accepted' END AS reason, count(*)::BIGINT AS n FROM m GROUP BY 1""",
+    f"""WITH {_DIALOGUES}, r AS (SELECT turns, array_to_string(list_transform(turns, lambda t: t.role), ',') AS roles, list_filter(turns, lambda t: t.role = 'user')[1].content AS u, turns[-1].content AS a FROM m)
+    SELECT CASE WHEN roles NOT IN ('user,assistant', 'system,user,assistant') THEN 'unsupported_dialogue' WHEN len(list_filter(turns, lambda t: t.content IS NULL)) > 0 THEN 'invalid_content' WHEN u = '' OR a = '' OR contains(a, '<image>') THEN 'invalid_qa'
+    WHEN len(list_filter(turns, lambda t: contains(t.content, '<image>'))) > 0 THEN 'ambiguous_modality' ELSE 'accepted' END AS reason, count(*)::BIGINT AS n FROM r GROUP BY 1""",
 )
 def conv_reason_codes(spark: SparkSession, sf: str) -> DataFrame:
     d = D.dialogues(V.table(spark, sf, "conversations")).withColumn("turns", D.normalised())

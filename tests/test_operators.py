@@ -38,7 +38,7 @@ def history(spark, rows=HISTORY):
 
 def test_event_counts(spark):
     got = {r.sample_id: (r.forgetting_count, r.learning_count, r.latest_transition) for r in dynamics.event_counts(history(spark)).collect()}
-    assert got == {"a": (1, 1, "learned"), "b": (0, 1, "kept_correct"), "t": (None, None, "not_scored")}
+    assert got == {"a": (1, 1, "learned"), "b": (0, 1, "stable_correct"), "t": (None, None, "not_scored")}
 
 
 def test_loss_change(spark):
