@@ -104,7 +104,7 @@ def canonical_turns(df: DataFrame, key: str = "conv_id", layouts: tuple[Layout,
 
 def record_fingerprint(record: Column) -> Column:
     """Hash of the nested field paths of a JSON record; scalar types do not count."""
-    kind = F.expr("schema_of_variant(v)") if record is None else F.schema_of_variant(F.try_parse_json(record))
+    kind = F.schema_of_variant(F.try_parse_json(record))
     return F.sha2(F.regexp_replace(kind, r"\b(STRING|VOID|BIGINT|BOOLEAN|DOUBLE|FLOAT|DECIMAL\(\d+,\s?\d+\))\b\)?", "_"), 256)
 
 
@@ -131,8 +131,7 @@ def canonical_records(df: DataFrame, key: str = "conv_id", record: str = "record
             fields = {p: F.get_json_object("record", f"$.{p}") for p in tops}
         hit = F.col("fingerprint") == hashlib.sha256(_json_shape(layout).encode()).hexdigest()
         out = out.withColumns({f"_{layout.name}_{p}": F.when(hit, c) for p, c in fields.items()})
-        alias = Layout(layout.name, layout.paths, layout.turns, layout.messages)
-        value = _mapped_from(alias, {p: f"_{layout.name}_{p}" for p in fields})
+        value = _mapped_from(layout, {p: f"_{layout.name}_{p}" for p in fields})
         name, turns = F.when(hit, layout.name).otherwise(name), F.when(hit, value.cast(TURNS)).otherwise(turns)
     return out.select(key, "fingerprint", name.alias("layout"), turns.alias("turns"))
 
