@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: kinds of pieces in a model file
 UNIGRAM, BPE = 1, 2  # fixed values: kinds of models
-MEMO_WORDS, MEMO_PAIRS = 400_000, 500_000
+MEMO_WORDS, MEMO_PAIRS = 700_000, 500_000
 INFINITE = float("inf")
 
 
@@ -85,7 +85,8 @@ class PieceTransducer:
         self.bytes = {int(p[1:-1], 16): i for i, (p, _, k) in enumerate(self.pieces) if k == BYTE}
         self.unknown = next((i for i, (_, _, k) in enumerate(self.pieces) if k == UNKNOWN), 0)
         self.worst = min(self.scores.values(), default=0.0) - 10
-        self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        marks = re.escape("".join(self._marks()))
+        self.words = re.compile(f"{SPACE}*[^{SPACE}{marks}]+|{SPACE}*[{marks}]+|{SPACE}+" if marks else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.memo: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.splits: dict[str, tuple[str, str] | None] = {}
@@ -102,6 +103,18 @@ class PieceTransducer:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.surface = np.frombuffer(b"".join(surface), np.uint8)
 
+    def _marks(self) -> list[str]:
+        """Characters, not letters, that no piece holds next to others but U+2581 before them.
+
+        A text can be cut where a run of them begins or ends, as it can where U+2581 begins.
+        """
+        marks = {c for p in self.ids for c in p if not c.isalpha() and c != SPACE}
+        while True:
+            mixed = {c for p in self.ids for x, y in zip(p, p[1:], strict=False) if (x in marks) != (y in marks) and x != SPACE for c in (x, y)} & marks
+            if not mixed:
+                return sorted(marks)
+            marks -= mixed
+
     def normalise(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
