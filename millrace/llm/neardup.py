@@ -12,7 +12,8 @@ samples of a band share a bucket.  Equal texts are one representative from here
 a bucket is compared with the bucket's smallest; links are verified by weighted Jaccard
 similarity of whole texts, and make components.  In buckets that then hold several components,
 texts are compared block by block by their samples, and the best edges between components are
-verified in turn, until no new link is found.  No step emits all pairs of a bucket.
+verified in turn, more of them in each round, until every candidate edge that still lies between
+two components has been verified.  Pairs within a component are not emitted.
 
 Defined results: words are lower-case and separated by white space; a text of fewer than five
 words is one shingle, texts without words are equal; a null text is empty; rows that repeat are
@@ -241,19 +242,20 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.unionByName(ends.select(F.col("comp").alias("id"), "comp")).distinct()
 
 
-def _forest_pairs(named: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of texts of different components in one bucket, block by block.
+def _forest_pairs(named: DataFrame, sigs: DataFrame, least: float, quota: int = 0) -> DataFrame:
+    """Pairs (bucket, a, b, more) of texts of different components in one bucket, block by block.
 
     ``named`` has bucket, id, comp.  Texts of a bucket's largest component are not compared with
     each other; the others meet all texts of the bucket, in blocks of ``BLOCK`` against blocks of
     ``BLOCK``.  Of each two blocks the edges of a maximal spanning forest over components are
-    given, the most alike first.
+    given, the most alike first, and besides the ``quota`` most alike edges for each text, as the
+    forest's own may fail.  ``more`` tells that the two blocks have further candidates.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for rows in batch.column(0).to_pylist():
+            bucket, a, b, more = [], [], [], []
+            for at, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows.sort(key=lambda r: r["id"])
                 one, other = ([r for r in rows if r["minor"] is side] for side in (True, False))
                 if not one or not other:
@@ -266,8 +268,11 @@ def _forest_pairs(named: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
                     i, j = np.nonzero((alike >= least) & (p[k : k + 64, None] != q[None, :]))
                     found.append(np.stack([alike[i, j], i + k, j], 1))
                 edges = np.concatenate(found)
+                edges = edges[np.argsort(-edges[:, 0], kind="stable"), 1:].astype(int)
+                first = quota * (len(one) + len(other))
+                given = np.arange(len(edges)) < first
                 parent: dict[int, int] = {}
-                for i, j in edges[np.argsort(-edges[:, 0], kind="stable"), 1:].astype(int).tolist():
+                for k, (i, j) in enumerate(edges.tolist()):
                     s, t = one[i]["comp"], other[j]["comp"]
                     while s in parent:
                         s = parent[s]
@@ -275,10 +280,15 @@ def _forest_pairs(named: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
                         t = parent[t]
                     if s != t:
                         parent[max(s, t)] = min(s, t)
-                        ends = (one[i]["id"], other[j]["id"])
-                        a.append(max(ends))
-                        b.append(min(ends))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                        given[k] = True
+                for i, j in edges[given].tolist():
+                    ends = (one[i]["id"], other[j]["id"])
+                    a.append(max(ends))
+                    b.append(min(ends))
+                n = int(given.sum())
+                bucket += [at] * n
+                more += [n < len(edges)] * n
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], ["bucket", "a", "b", "more"])
 
     sizes = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("top"), F.sum("n").alias("n")).where("n > top")
@@ -289,7 +299,7 @@ def _forest_pairs(named: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     left = d.where("comp <> major").select("bucket", "id", "comp", "sig", F.lit(True).alias("minor"), block("minors", 1).alias("x"), every("alls").alias("y"))
     right = d.select("bucket", "id", "comp", "sig", F.lit(False).alias("minor"), every("minors").alias("x"), block("alls", 2).alias("y"))
     grouped = left.unionByName(right).groupBy("bucket", "x", "y").agg(F.collect_list(F.struct("id", "comp", "sig", "minor")).alias("rows"))
-    return grouped.select("rows").mapInArrow(run, "a long, b long").distinct()
+    return grouped.select("bucket", "rows").mapInArrow(run, "bucket long, a long, b long, more boolean")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 5, saturation: float = 3.0, most_rounds: int = 4) -> DataFrame:
@@ -314,18 +324,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, ro
     tried = materialise(agreeing(members.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), sigs, least), "candidates")
     links = materialise(verified(tried, texts, weights, threshold), "links")
     comps = components(links)
+    open_, quota = members, 0
     for _ in range(most_rounds):
-        named = members.join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-        pairs = _forest_pairs(named, sigs, least)
-        fresh = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
-        if fresh.isEmpty():
+        named = open_.join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+        pairs = materialise(_forest_pairs(named, sigs, least, quota), "pairs")
+        fresh = materialise(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
+        if not fresh.isEmpty():
+            tried = tried.unionByName(fresh)
+            more = materialise(verified(fresh, texts, weights, threshold), "links")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                comps = components(links)
+        # all candidates of the other buckets are verified or within a component by now
+        left = pairs.where("more").select("bucket").distinct()
+        if left.isEmpty():
             break
-        more = materialise(verified(fresh, texts, weights, threshold), "links")
-        tried = tried.unionByName(fresh)
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        comps = components(links)
+        open_, quota = materialise(open_.join(left, "bucket", "left_semi"), "buckets"), max(1, 8 * quota)
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     named = reps.select("id", "k1", "k2").join(comps, "id", "left").join(ends, "id", "left")
     named = named.select("k1", "k2", F.coalesce("comp", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -229,6 +229,23 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sum(got[k] != c for k, c in enumerate(want)) <= 1  # a band in ten thousand may be missed at the threshold
 
 
+def hub_texts() -> list[str]:
+    """A group with many pairs just below the threshold and some above it, among unrelated texts."""
+    rng, texts = random.Random(3), []
+    for _ in range(150):
+        words = [f"w{k}" for k in range(60)]
+        for k in rng.sample(range(60), rng.choice((1, 2))):
+            words[k] = f"x{rng.randint(0, 99999)}"
+        texts.append(" ".join(words))
+    return texts + [" ".join(f"u{rng.randint(0, 10**7)}" for _ in range(20)) for _ in range(450)]
+
+
+def test_failed_edges_do_not_hide_others(spark):
+    texts = hub_texts()
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), EMPTY)).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_classes(texts)
+
+
 def test_common_shingles_weigh_less(spark):
     df = spark.createDataFrame([(k, "all texts start with this line " + f"and end on {k}") for k in range(40)], EMPTY)
     found = neardup.frequent_shingles(df, 40, 3.0)
