@@ -302,7 +302,7 @@ def _forest_pairs(named: DataFrame, sigs: DataFrame, least: float, quota: int =
     return grouped.select("bucket", "rows").mapInArrow(run, "bucket long, a long, b long, more boolean")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 5, saturation: float = 3.0, most_rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 5, saturation: float = 3.0) -> DataFrame:
     """doc_id, text_key, class_id (smallest doc_id) and n_links of every row of ``docs`` (doc_id, text).
 
     ``n_links`` counts the verified links of a text to different texts that made its class.
@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, ro
     links = materialise(verified(tried, texts, weights, threshold), "links")
     comps = components(links)
     open_, quota = members, 0
-    for _ in range(most_rounds):
+    while True:  # the quota grows, so that no bucket stays open
         named = open_.join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
         pairs = materialise(_forest_pairs(named, sigs, least, quota), "pairs")
         fresh = materialise(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "candidates")

@@ -246,6 +246,22 @@ def test_failed_edges_do_not_hide_others(spark):
     assert [got[k] for k in range(len(texts))] == brute_classes(texts)
 
 
+def test_rounds_go_on_while_buckets_are_open(spark, monkeypatch):
+    search, rounds = neardup._forest_pairs, []
+
+    def slow(named, *args):
+        """Finds nothing for six rounds, but leaves every bucket open."""
+        rounds.append(1)
+        if len(rounds) > 6:
+            return search(named, *args)
+        return named.select("bucket", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(True).alias("more"))
+
+    monkeypatch.setattr(neardup, "_forest_pairs", slow)
+    texts = hub_texts()
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), EMPTY)).collect()}
+    assert len(rounds) > 6 and [got[k] for k in range(len(texts))] == brute_classes(texts)
+
+
 def test_common_shingles_weigh_less(spark):
     df = spark.createDataFrame([(k, "all texts start with this line " + f"and end on {k}") for k in range(40)], EMPTY)
     found = neardup.frequent_shingles(df, 40, 3.0)
