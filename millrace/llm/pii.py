@@ -1,15 +1,16 @@
 """Information-theoretic sanitisation of personal data.
 
 Personal data is found by pattern in whole texts.  Besides, the corpus tells how strongly the
-words around an entity reveal it: over all distinct contexts of all entities,
+words of a text reveal an entity in it: over all distinct texts that hold entities,
 
     PMI(term, entity) = log(N * n(term, entity) / (n(term) * n(entity)))
     IC(entity)        = log(N / n(entity))
 
-and a term that stands with an entity in at least ``support`` distinct contexts and carries
-PMI >= ``threshold`` * IC discloses it and is found too.  Long tokens that mix letters and
+and a term that stands with an entity in at least ``support`` distinct texts, at any distance, and
+carries PMI >= ``threshold`` * IC discloses it and is found at every place of the texts that hold
+the entity.  Words that are part of an entity are no terms.  Long tokens that mix letters and
 digits carry so much information by themselves that they are found as secrets.  Copies of a
-passage are one context, so copying alone makes no term disclosing.  Redaction generalises
+text count once, so copying alone makes no term disclosing.  Redaction generalises
 entities to their kind and removes disclosing terms.  Everything is DataFrame functions.
 
 Positions are code points, ends exclusive.  Defined results: a null text has no spans and
@@ -67,33 +68,43 @@ def base_spans() -> Column:
     return F.expr(f"cast(concat({', '.join(parts)}) as array<{SPAN}>)")
 
 
-def _contexts(width: int) -> Column:
-    """For each entity: its value, a hash of the characters around it, and the words there with their starts."""
-    left = f"substring(text, greatest(s.start - {width}, 0) + 1, least(s.start, {width}))"
-    right = f"substring(text, s.stop + 1, {width})"
-    terms = lambda side, base: f"transform({_located(side, TERM)}, x -> struct(lower(x.m) as term, {base} + x.start as start, {base} + x.start + length(x.m) as stop))"
-    entities = "filter(spans, s -> s.kind <> 'secret')"
-    return F.expr(f"transform({entities}, s -> struct(xxhash64(s.kind, lower(s.value)) as entity, xxhash64({left}, {right}) as context, concat({terms(left, f'greatest(s.start - {width}, 0)')}, {terms(right, 's.stop')}) as terms))")
+def _masked() -> str:
+    """SQL for ``text`` with a space for each character of its spans."""
+    step = "(a, s) -> case when s.start >= a.at then struct(s.stop as at, concat(a.done, array(substring(text, a.at + 1, s.start - a.at), repeat(' ', s.stop - s.start))) as done) else struct(greatest(a.at, s.stop) as at, concat(a.done, array(repeat(' ', greatest(s.stop - a.at, 0)))) as done) end"
+    ordered = "array_sort(spans, (x, y) -> case when x.start < y.start then -1 when x.start > y.start then 1 else 0 end)"
+    return f"case when size(spans) = 0 then text else aggregate({ordered}, struct(0 as at, cast(array() as array<string>) as done), {step}, a -> concat(array_join(a.done, ''), substring(text, a.at + 1))) end"
 
 
-def scan(docs: DataFrame, width: int = 48) -> DataFrame:
-    """doc_id, text_key, spans and contexts of every text; no text is kept."""
+def _places(terms: str) -> str:
+    """SQL for array<struct<start, stop, term>>: the places of ``terms`` in ``masked``, in order."""
+    q = TERM.replace("\\", "\\\\").replace("'", "\\'")
+    zipped = f"filter(zip_with(split(masked, '{q}', -1), regexp_extract_all(masked, '{q}', 0), (g, m) -> struct(length(coalesce(g, '')) as g, m)), x -> x.m is not null)"
+    place = "struct(a.at + x.g as start, a.at + x.g + length(x.m) as stop, lower(x.m) as term)"
+    step = f"(a, x) -> struct(a.at + x.g + length(x.m) as at, case when array_contains({terms}, lower(x.m)) then concat(a.found, array({place})) else a.found end as found)"
+    return f"aggregate({zipped}, struct(0 as at, cast(array() as array<struct<start:int,stop:int,term:string>>) as found), {step}).found"
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, spans, entities (hashes), words (distinct, outside of spans) and masked of every text; masked is kept of texts with entities only."""
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.withColumn("spans", base_spans())
-    return d.select("doc_id", F.xxhash64("text").alias("text_key"), "spans", F.when(F.size("spans") > 0, _contexts(width)).alias("contexts"))
+    entities = F.expr("array_distinct(transform(filter(spans, s -> s.kind <> 'secret'), s -> xxhash64(s.kind, lower(s.value))))")
+    q = TERM.replace("\\", "\\\\").replace("'", "\\'")
+    words = F.expr(f"array_distinct(transform(regexp_extract_all(masked, '{q}', 0), m -> lower(m)))")
+    d = d.select("doc_id", F.xxhash64("text").alias("text_key"), "spans", entities.alias("entities"), F.expr(_masked()).alias("masked"))
+    return d.select("doc_id", "text_key", "spans", "entities", words.alias("words"), F.when(F.size("entities") > 0, F.col("masked")).alias("masked"))
 
 
 def disclosing(scanned: DataFrame, threshold: float = 0.9, support: int = 3) -> DataFrame:
-    """(entity, term) pairs that exceed the threshold, from counts over all distinct contexts.
+    """(entity, term) pairs that exceed the threshold, from counts over distinct texts.
 
-    Contexts that copies share fall together in the first aggregation, before any shuffle of terms.
+    Only entities of at least ``support`` texts meet the words of these texts.
     """
-    seen = scanned.where("contexts is not null").select(F.explode("contexts").alias("c")).select("c.entity", "c.context", F.expr("array_distinct(transform(c.terms, t -> t.term))").alias("terms"))
-    seen = seen.groupBy("entity", "context").agg(F.first("terms").alias("terms"))
-    # one context counts once for an entity; its terms once for it
-    per_entity = seen.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    pairs = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    per_term = pairs.groupBy("term").agg(F.sum("n_te").alias("n_t"))
+    seen = scanned.where("size(entities) > 0").select("text_key", "entities", "words").dropDuplicates(["text_key"])
+    holds = seen.select("words", F.explode("entities").alias("entity"))
+    per_entity = holds.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    pairs = holds.join(per_entity.select("entity"), "entity", "left_semi").select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    per_term = seen.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = seen.agg(F.count("*").alias("n"))
     joined = pairs.where(F.col("n_te") >= support).join(per_entity, "entity").join(per_term, "term").join(F.broadcast(total))  # one row
     pmi = F.log(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
@@ -102,13 +113,13 @@ def disclosing(scanned: DataFrame, threshold: float = 0.9, support: int = 3) ->
 
 def all_spans(scanned: DataFrame, threshold: float = 0.9, support: int = 3) -> DataFrame:
     """doc_id, text_key, spans: those by pattern and the disclosing terms."""
-    found = disclosing(scanned, threshold, support)
-    near = scanned.where("contexts is not null").select("doc_id", "text_key", F.explode("contexts").alias("c")).select("doc_id", "text_key", "c.entity", F.explode("c.terms").alias("t"))
-    near = near.select("doc_id", "text_key", "entity", "t.term", "t.start", "t.stop")
-    terms = near.join(found, ["entity", "term"]).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "term"))).alias("terms"))
-    more = F.coalesce(F.expr(f"cast(transform(terms, t -> named_struct('kind', 'term', 'start', t.start, 'stop', t.stop, 'value', t.term)) as array<{SPAN}>)"), F.expr(NONE))
+    found = materialise(disclosing(scanned, threshold, support), "disclosing")
+    near = scanned.where("size(entities) > 0").select("doc_id", "text_key", "words", F.explode("entities").alias("entity")).join(found.select("entity").distinct(), "entity", "left_semi")
+    near = near.select("doc_id", "text_key", "entity", F.explode("words").alias("term")).join(found, ["entity", "term"])
+    terms = near.groupBy("doc_id", "text_key").agg(F.collect_set("term").alias("terms"))
     terms = terms.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "terms")
-    both = scanned.join(terms, F.expr("doc_id <=> _id and text_key = _key"), "left")
+    both = scanned.select("doc_id", "text_key", "spans", "masked").join(terms, F.expr("doc_id <=> _id and text_key = _key"), "left")
+    more = F.expr(f"case when terms is null then {NONE} else cast(transform({_places('terms')}, t -> named_struct('kind', 'term', 'start', t.start, 'stop', t.stop, 'value', t.term)) as array<{SPAN}>) end")
     return both.select("doc_id", "text_key", F.concat("spans", more).alias("spans"))
 
 
@@ -132,7 +143,7 @@ def sanitise(docs: DataFrame, threshold: float = 0.9, support: int = 3) -> DataF
     Texts meet their spans in one join; documents without spans need no partner there.
     """
     scanned = materialise(scan(docs), "pii")
-    found = all_spans(scanned.where("size(spans) > 0"), threshold, support).groupBy("doc_id", "text_key").agg(F.first("spans").alias("spans"))
+    found = all_spans(scanned, threshold, support).where("size(spans) > 0").groupBy("doc_id", "text_key").agg(F.first("spans").alias("spans"))
     found = found.select(F.col("doc_id").alias("_pii_id"), F.col("text_key").alias("_pii_key"), F.col("spans").alias("_pii_spans"))
     both = docs.join(found, F.expr("doc_id <=> _pii_id and xxhash64(coalesce(text, '')) = _pii_key"), "left")
     return both.select(*[redacted("_pii_spans").alias("text") if c == "text" else F.col(c) for c in docs.columns])

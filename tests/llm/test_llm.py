@@ -354,6 +354,16 @@ def test_disclosing_terms_and_redaction(spark):
     assert " the " in got[5] and "<IP>" in got[5]
 
 
+def test_terms_are_found_far_from_the_entity(spark):
+    fill = lambda k: " ".join(f"filler{chr(97 + k)}{chr(97 + i)}" for i in range(30))
+    texts = [f"Mail zorblax@example.org now. {fill(k)}\nYours, ZORBLAX {fill(k)} Zorblax" for k in range(4)]
+    texts += [f"Mail a{k}@example.org now. {fill(k)}\nYours, nobody" for k in range(5, 20)]
+    got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), EMPTY)).collect()}
+    for k in range(4):
+        assert "zorblax" not in got[k].lower() and "Yours, " in got[k] and "Mail <EMAIL> now" in got[k] and got[k].count("filler") == 60
+    assert "nobody" in got[9]
+
+
 def test_pii_odd_rows(spark, odd):
     assert pii.sanitise(odd).count() == len(ODD) and pii.sanitise(spark.createDataFrame([], EMPTY)).count() == 0
 
