@@ -1,7 +1,7 @@
 """Information-theoretic sanitisation of personal data.
 
 Personal data is found by pattern in whole texts.  Besides, the corpus tells how strongly the
-words of a text reveal an entity in it: over all distinct texts that hold entities,
+words of a text reveal an entity in it: over all distinct texts, those without entities too,
 
     PMI(term, entity) = log(N * n(term, entity) / (n(term) * n(entity)))
     IC(entity)        = log(N / n(entity))
@@ -85,26 +85,30 @@ def _places(terms: str) -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, spans, entities (hashes), words (distinct, outside of spans) and masked of every text; masked is kept of texts with entities only."""
+    """doc_id, text_key, spans, entities (hashes), words (distinct, outside of spans, with spaces between) and masked of every text; masked is kept of texts with entities only."""
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.withColumn("spans", base_spans())
     entities = F.expr("array_distinct(transform(filter(spans, s -> s.kind <> 'secret'), s -> xxhash64(s.kind, lower(s.value))))")
     q = TERM.replace("\\", "\\\\").replace("'", "\\'")
-    words = F.expr(f"array_distinct(transform(regexp_extract_all(masked, '{q}', 0), m -> lower(m)))")
+    words = F.expr(f"array_join(array_distinct(transform(regexp_extract_all(masked, '{q}', 0), m -> lower(m))), ' ')")
     d = d.select("doc_id", F.xxhash64("text").alias("text_key"), "spans", entities.alias("entities"), F.expr(_masked()).alias("masked"))
     return d.select("doc_id", "text_key", "spans", "entities", words.alias("words"), F.when(F.size("entities") > 0, F.col("masked")).alias("masked"))
 
 
+def _terms() -> Column:
+    return F.explode(F.split("words", " ")).alias("term")
+
+
 def disclosing(scanned: DataFrame, threshold: float = 0.9, support: int = 3) -> DataFrame:
     """(entity, term) pairs that exceed the threshold, from counts over distinct texts.
 
     Only entities of at least ``support`` texts meet the words of these texts.
     """
-    seen = scanned.where("size(entities) > 0").select("text_key", "entities", "words").dropDuplicates(["text_key"])
-    holds = seen.select("words", F.explode("entities").alias("entity"))
-    per_entity = holds.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    pairs = holds.join(per_entity.select("entity"), "entity", "left_semi").select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    per_term = seen.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    seen = materialise(scanned.select("text_key", "entities", "words").dropDuplicates(["text_key"]), "texts")
+    holds = seen.where("size(entities) > 0").select("words", F.explode("entities").alias("entity"))
+    per_entity = materialise(holds.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support), "entities")
+    pairs = holds.join(per_entity.select("entity"), "entity", "left_semi").select("entity", _terms()).where("term <> ''").groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    per_term = seen.select(_terms()).where("term <> ''").groupBy("term").agg(F.count("*").alias("n_t"))
     total = seen.agg(F.count("*").alias("n"))
     joined = pairs.where(F.col("n_te") >= support).join(per_entity, "entity").join(per_term, "term").join(F.broadcast(total))  # one row
     pmi = F.log(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
@@ -115,9 +119,9 @@ def all_spans(scanned: DataFrame, threshold: float = 0.9, support: int = 3) -> D
     """doc_id, text_key, spans: those by pattern and the disclosing terms."""
     found = materialise(disclosing(scanned, threshold, support), "disclosing")
     near = scanned.where("size(entities) > 0").select("doc_id", "text_key", "words", F.explode("entities").alias("entity")).join(found.select("entity").distinct(), "entity", "left_semi")
-    near = near.select("doc_id", "text_key", "entity", F.explode("words").alias("term")).join(found, ["entity", "term"])
+    near = near.select("doc_id", "text_key", "entity", _terms()).join(found, ["entity", "term"])
     terms = near.groupBy("doc_id", "text_key").agg(F.collect_set("term").alias("terms"))
-    terms = terms.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "terms")
+    terms = materialise(terms.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "terms"), "terms")
     both = scanned.select("doc_id", "text_key", "spans", "masked").join(terms, F.expr("doc_id <=> _id and text_key = _key"), "left")
     more = F.expr(f"case when terms is null then {NONE} else cast(transform({_places('terms')}, t -> named_struct('kind', 'term', 'start', t.start, 'stop', t.stop, 'value', t.term)) as array<{SPAN}>) end")
     return both.select("doc_id", "text_key", F.concat("spans", more).alias("spans"))

@@ -364,6 +364,13 @@ def test_terms_are_found_far_from_the_entity(spark):
     assert "nobody" in got[9]
 
 
+def test_words_of_clean_texts_are_no_terms(spark):
+    texts = [f"The harbour office writes as q{k} from desk@example.org about {w}" for k, w in enumerate(["boats", "nets", "ropes", "masts"])]
+    texts += [f"Some people wrote a note to a{k}@example.org" for k in range(8)] + [f"The harbour office opens on day {k}" for k in range(30)]
+    got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), EMPTY)).collect()}
+    assert all("The harbour office " in got[k] for k in range(4))
+
+
 def test_pii_odd_rows(spark, odd):
     assert pii.sanitise(odd).count() == len(ODD) and pii.sanitise(spark.createDataFrame([], EMPTY)).count() == 0
 
