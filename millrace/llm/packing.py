@@ -25,20 +25,23 @@ from pyspark.sql import functions as F
 
 from millrace.storage import materialise
 
+LEARN = 300  # words encoded in one call
 MEMO_ENTRIES = 400_000  # words remembered by a task; the memory is bounded, the result does not depend on it
 ODD_CASE = {"\u0130", "\u03a3"}  # their small forms are two characters, or depend on the place
 SEPARATOR = np.array([0], "<u4").tobytes()
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 class WordIds:
     """Token ids of words between spaces, as little-endian 32-bit bytes.
 
-    The tokenizer lower-cases and never merges across a space, a line feed, or between a
-    letter and the punctuation after it, so a text's ids are the ids of its words in a row.
-    Words of letters are encoded many in one call: each ends in a word-end token.  All
-    other words go through the whole tokenizer.
+    The tokenizer composes, lower-cases and never merges across a space, a line feed, or
+    between a letter and the punctuation after it, so a text's ids are the ids of its words in
+    a row.  A text that is composed before and after it is lower-cased has the ids of its lower
+    case; others keep their case.  Words of letters are encoded many in one call: each ends in
+    a word-end token.  All other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str, entries: int = MEMO_ENTRIES):
@@ -49,35 +52,39 @@ class WordIds:
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.whole.get_vocab_size(), bool)
         self.ends[[i for t, i in self.whole.get_vocab().items() if t.endswith("</w>")]] = True
-        self.tail = re.compile(r"(?<=[a-z])([!-&(-/:-@\[-^`{-~]+)(?=\s|$)").sub
+        mark = r"[!-&(-/:-@\[-^`{-~]"  # ASCII punctuation but ' and _
+        self.tail = re.compile(rf"({mark}(?<=[a-z].){mark}*)(?=\s|$)").sub
         self.entries = entries
         self.memo: dict[str, bytes] = {"": b""}
 
     def _words(self, text: str) -> list[str]:
         text = text.replace("\n", " ")
         if "<|" not in text and not any(c in text for c in ODD_CASE):  # special tokens stay as they are
-            text = self.tail(r" \1", text.lower())
+            low = text.lower()
+            if text.isascii() or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
+                text = self.tail(r" \1", low)
         return text.split(" ")
 
     def _learn(self, missing: set[str]) -> None:
-        plain = [w for w in missing if w.isalpha() and w.islower() and (w.isascii() or unicodedata.is_normalized("NFC", w))]
-        other = list(missing.difference(plain))
-        ids = np.array(self.letters.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-        stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-        if len(stops) == len(plain):
-            data, at = ids.tobytes(), 0
-            for word, stop in zip(plain, stops.tolist(), strict=True):
-                self.memo[word] = data[at:stop]
-                at = stop
-        else:
-            other += plain
+        letters = [w for w in missing if w.isalpha() and w.islower() and (w.isascii() or unicodedata.is_normalized("NFC", w))]
+        other = list(missing.difference(letters))
+        for k in range(0, len(letters), LEARN):
+            plain = letters[k : k + LEARN]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(stops) == len(plain):
+                data, at = ids.tobytes(), 0
+                for word, stop in zip(plain, stops.tolist(), strict=True):
+                    self.memo[word] = data[at:stop]
+                    at = stop
+            else:
+                other += plain
         for word, e in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.memo[word] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         words = [self._words(t) for t in texts]
-        missing = set().union(*words)
-        missing.difference_update(self.memo)
+        missing = set().union(*words).difference(self.memo)  # looks up the few words, not the memo
         if len(self.memo) + len(missing) > self.entries:
             self.memo = {"": b""}
             missing = set().union(*words, [""])
@@ -88,13 +95,13 @@ class WordIds:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
-    """Pieces (doc_id, piece, start, length, ids_crc32) of ``docs`` (doc_id, text)."""
+    """Pieces (doc_id, piece, start, length, ids_crc32) of ``docs`` (doc_id, text), and their row in the task that made them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(tokenizer_path)
+        coder, made = WordIds(tokenizer_path), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 128):
-                part = batch.slice(k, 128)
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
                 rows: list[tuple] = []
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc_id, ids in zip(part.column(0).to_pylist(), coder.encode(texts), strict=True):
@@ -102,14 +109,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) ->
                     n = len(ids) // 4
                     for p, start in enumerate(range(0, n, capacity)):
                         cut = ids[4 * start : 4 * (start + capacity)]
-                        rows.append((doc_id, p, start, len(cut) // 4, zlib.crc32(cut)))
-                cols = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+                        rows.append((doc_id, p, start, len(cut) // 4, zlib.crc32(cut), made))
+                        made += 1
+                cols = list(zip(*rows, strict=True)) or [[]] * 6
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [*NAMES, "row"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES + ", row long")
 
 
 Plan = list[tuple[list[tuple[int, int]], int]]
@@ -119,12 +125,12 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> Plan:
     """Sequence patterns ([(length, copies)...], multiplicity) that use up the histogram.
 
     Exact complements of up to three pieces spend small pieces that later lengths may need,
-    so plans with complements of at most 3, 2, 1 and 0 pieces are made and the one with the
+    so plans with complements of at most 3, 2 and 1 pieces are made and the one with the
     fewest sequences is taken, the deepest of equals.
     """
     floor = -(-sum(x * n for x, n in histogram.items()) // capacity)
     best: tuple[int, Plan] | None = None
-    for depth in (3, 2, 1, 0):
+    for depth in (3, 2, 1):
         plan = _plan(histogram, capacity, depth)
         size = sum(times for _, times in plan)
         if best is None or size < best[0]:
@@ -223,7 +229,7 @@ def _plan(histogram: dict[int, int], capacity: int, depth: int) -> Plan:
 
 
 def place_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """``pieces`` (materialised; doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
+    """``pieces`` (of :func:`token_pieces`, materialised) with sequence_id and offset."""
     spark = pieces.sparkSession
     histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     slots: dict[int, list[tuple[int, int, int, int]]] = {}
@@ -240,14 +246,15 @@ def place_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
     # The rank of a piece among those of its length: a length's pieces are dealt into about
     # sqrt(count) groups, so neither a group nor the list of groups of one length is large.
+    # Rows that repeat differ in the row of their task, so they do not share a group.
     groups = spark.createDataFrame([(int(k), max(1, int(n**0.5))) for k, n in histogram.items()] or [(0, 1)], "length long, groups int")
-    dealt = pieces.join(F.broadcast(groups), "length").withColumn("salt", F.expr("cast(pmod(xxhash64(doc_id, piece, ids_crc32), groups) as int)"))
+    dealt = pieces.join(F.broadcast(groups), "length").withColumn("salt", F.expr("cast(pmod(xxhash64(row, ids_crc32, doc_id), groups) as int)"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy("length", "salt").agg(F.count("*").alias("n"))
     bases = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = dealt.withColumn("row", F.row_number().over(within)).join(bases, ["length", "salt"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("row") - 1).alias("rank"))
+    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "row")
+    ranked = dealt.withColumn("nth", F.row_number().over(within)).join(bases, ["length", "salt"])
+    ranked = ranked.select(*NAMES, (F.col("base") + F.col("nth") - 1).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,7 +267,7 @@ def place_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
                 j = rank[at] - first[slot]
                 seq[at] = base[slot] + j % times[slot]
                 off[at] = begin[slot] + j // times[slot] * x
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(off)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(off)], [*NAMES, "sequence_id", "offset"])
 
     return ranked.mapInArrow(place, PIECES + ", sequence_id long, offset long")
 
