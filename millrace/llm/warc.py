@@ -7,7 +7,10 @@ keys of segments are the only part that a driver sees: one key for some hundred
 captures.  A lookup binary-searches the segments, the directory and the block, and then
 reads the record's range of the archive.
 
-Defined results: a null html is an empty payload, a null url is kept under ``urn:page``;
+Archives are cut by their bytes, and read in streams and ranges, so no file is held whole.
+
+Defined results: a null html is an empty payload, a null url is kept under ``urn:page``; a url
+that cannot be parsed, or has no host, is its own key; every url is read back as it was;
 a page_id that repeats gives a record for each row; payloads shorter than ``min_bytes``
 are never revisits; an empty table gives no captures; other columns are ignored.
 """
@@ -31,11 +34,15 @@ from millrace.storage import materialise, new_path
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BLOCK_LINES, SEGMENT_BLOCKS = 1024, 256
+FILE_BYTES, TASK_BYTES, STEP = 64 << 20, 64 << 20, 1 << 16
 
 
 def url_key(url: str) -> str:
-    """Sort key with the host reversed: ``org,example,www)/path?query``."""
-    parts = urlsplit(url)
+    """Sort key with the host reversed: ``org,example,www)/path?query``; what has no host is its own key."""
+    try:
+        parts = urlsplit(url)
+    except ValueError:  # such as an unclosed bracket in the host
+        return url
     if not parts.netloc:
         return url
     host = ",".join(reversed(parts.netloc.lower().split(".")))
@@ -73,6 +80,8 @@ def record_bytes(page_id: int | None, url: str | None, html: str, size: int, dig
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     body = http + (html.encode() if refers_to is None else b"")
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}"]
+    if url is not None and (uri != url or url.startswith("urn:page:")):  # some characters had to be coded; this undoes it exactly
+        head.append(f"X-Source-URL: {quote(url, safe='')}")
     if refers_to is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
@@ -86,7 +95,9 @@ def parse_record(data: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.startswith(b"Content-Length:"))
-    return {"type": fields["WARC-Type"], "uri": fields["WARC-Target-URI"], "id": fields["WARC-Record-ID"][10:-1], "digest": fields["WARC-Payload-Digest"][5:], "refers_to": fields.get("WARC-Refers-To", "          ")[10:-1], "length": length, "payload": payload}
+    uri = fields["WARC-Target-URI"]
+    url = unquote(fields["X-Source-URL"]) if "X-Source-URL" in fields else None if uri.startswith("urn:page:") else uri
+    return {"type": fields["WARC-Type"], "url": url, "id": fields["WARC-Record-ID"][10:-1], "digest": fields["WARC-Payload-Digest"][5:], "refers_to": fields.get("WARC-Refers-To", "          ")[10:-1], "length": length, "payload": payload}
 
 
 def member(data: bytes) -> bytes:
@@ -99,8 +110,8 @@ def member(data: bytes) -> bytes:
     return out if out[-1] == 0 else out + gzip.compress(b"", mtime=0)
 
 
-def write_archives(records: DataFrame, rows_per_file: int = 4096) -> str:
-    """Write ``records`` of :func:`plan_records` as ``.warc.gz`` data; returns the folder.
+def write_archives(records: DataFrame, file_bytes: int = FILE_BYTES) -> str:
+    """Write ``records`` of :func:`plan_records` as ``.warc.gz`` data in files of about ``file_bytes``; returns the folder.
 
     Spark's text writer puts down the bytes of each row and a separator: with members that
     end in a zero byte, less that byte, and a zero byte as separator the files are plain
@@ -108,40 +119,59 @@ def write_archives(records: DataFrame, rows_per_file: int = 4096) -> str:
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = 0
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 rows = zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([member(record_bytes(*r))[:-1] for r in rows], pa.binary())], ["value"])
+                made = [member(record_bytes(*r))[:-1] for r in rows]
+                parts = []
+                for m in made:
+                    parts.append(written // file_bytes)
+                    written += len(m) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), pa.array(parts, pa.int32())], ["value", "part"])
 
     path = new_path(records.sparkSession, "warc")
-    rows = records.select("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to").mapInArrow(pack, "value binary")
-    rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", rows_per_file).text(path)
+    rows = records.select("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to").mapInArrow(pack, "value binary, part int")
+    rows.select(F.col("value").cast("string"), "part").write.option("lineSep", "\0").partitionBy("part").text(path)
     return path
 
 
+def members(stream) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and first bytes (the record's header at least) of the gzip members of a stream."""
+    data, at = stream.read(STEP), 0
+    while data:
+        inflate, begin, head = zlib.decompressobj(31), at, b""
+        while data:
+            out = inflate.decompress(data)
+            if b"\r\n\r\n" not in head:
+                head += out
+            rest = inflate.unused_data
+            at += len(data) - len(rest)
+            data = rest or stream.read(STEP)
+            if inflate.eof:
+                break
+        yield begin, at - begin, head
+
+
 def captures(spark, folder: str) -> DataFrame:
     """key, file, offset, length of every record, from one sequential read of the archives."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for path in batch.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(path)
                 rows = []
-                view, at = memoryview(content.as_buffer()), 0
-                while at < len(view):
-                    inflate = zlib.decompressobj(31)
-                    begin, head, step = at, b"", at
-                    while not inflate.eof:  # in small steps: what follows the member is not copied again and again
-                        data = inflate.decompress(view[step : step + 16384])
-                        step += 16384
-                        head = head or data
-                    at = min(step, len(view)) - len(inflate.unused_data)
-                    if head:
-                        uri = next(x for x in head.split(b"\r\n") if x.startswith(b"WARC-Target-URI: "))[17:].decode()
-                        rows.append((url_key(uri), path, begin, at - begin))
+                with store.open_input_stream(at) as stream:
+                    for offset, length, head in members(stream):
+                        if head:  # none in the empty member after a very large one
+                            uri = next(x for x in head.split(b"\r\n") if x.startswith(b"WARC-Target-URI: "))[17:].decode()
+                            rows.append((url_key(uri), path, offset, length))
                 cols = list(zip(*rows, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "file", "offset", "length"])
 
-    files = spark.read.format("binaryFile").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").load(folder).select("path")
     return files.mapInArrow(scan, "key string, file string, offset long, length long")
 
 
@@ -229,7 +259,8 @@ def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
 def read_captures(found: DataFrame) -> DataFrame:
     """The records at (file, offset, length): page_id, url, record_type, payload_bytes, payload_digest, refers_to, html.
 
-    Reads only the ranges asked for, file by file in order of offset.  The digest of a
+    Reads only the ranges asked for, file by file in order of offset, in as many tasks as their
+    bytes ask for.  ``found`` is read twice, so it should be a written table.  The digest of a
     response is taken from the payload that was read; a revisit has that of its header.
     """
 
@@ -249,13 +280,14 @@ def read_captures(found: DataFrame) -> DataFrame:
                     r = parse_record(gzip.decompress(held[1].read(length)))
                     whole = r["type"] == "response"
                     digest = base64.b32encode(hashlib.sha1(r["payload"]).digest()).decode() if whole else r["digest"]
-                    url = None if r["uri"].startswith("urn:page:") else unquote(r["uri"])
-                    rows.append((number(r["id"]), url, r["type"], len(r["payload"]) if whole else r["length"], digest, number(r["refers_to"].strip()), r["payload"].decode() if whole else None))
+                    rows.append((number(r["id"]), r["url"], r["type"], len(r["payload"]) if whole else r["length"], digest, number(r["refers_to"].strip()), r["payload"].decode() if whole else None))
                 cols = list(zip(*rows, strict=True)) or [[]] * 7
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "html"])
 
-    ordered = found.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    size = found.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-size // TASK_BYTES), min(2 * found.sparkSession.sparkContext.defaultParallelism, size >> 20))
+    ordered = found.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     return ordered.mapInArrow(read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, html string")
 
 
@@ -264,4 +296,4 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     folder = write_archives(plan_records(pages, min_bytes))
     found = materialise(captures(pages.sparkSession, folder), "captures")
     index = materialise(build_index(found), "cdx")
-    return read_captures(lookup(index, found.select("key").distinct()))
+    return read_captures(materialise(lookup(index, found.select("key").distinct()), "ranges"))
