@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Answer vocabularies by group.
-COLORS = ("gray", "red", "blue", "green", "brown", "purple", "cyan", "yellow")
-MATERIALS = ("rubber", "metal")
-SHAPES = ("cube", "sphere", "cylinder")
-SIZES = ("small", "large")
+COLORS = ("blue", "brown", "cyan", "gray", "green", "purple", "red", "yellow")
+MATERIALS = ("metal", "rubber")
+SHAPES = ("cube", "cylinder", "sphere")
+SIZES = ("large", "small")
 RELATIONS = ("left", "right", "front", "behind", "above", "below")
 COMPARISONS = ("equal_integer", "greater_than", "less_than")
 BOOLEAN_OPS = ("exist", "equal_color", "equal_material", "equal_shape", "equal_size")
@@ -35,11 +35,12 @@ def parse_letter(c: Column) -> Column:
     return F.upper(F.coalesce(*[F.nullif(F.regexp_extract(c, pattern, k), F.lit("")) for k in (1, 2, 3)]))
 
 
-def short_answer(c: Column, max_words: int = 3) -> Column:
-    """Whether a text is one to three plain words, or a number."""
-    t = F.regexp_replace(F.lower(c), r"\A\.+|\.+\z", "")
-    words = F.size(F.split(F.trim(c), r"\s+"))
-    return (words <= max_words) & (t.rlike(r"\A[a-z]+([ -][a-z]+){0,2}\z") | t.rlike(r"\A\d+(\.\d+)?\z"))
+def short_answer(c: Column, max_words: int = 3, applies: Column | None = None) -> Column:
+    """Whether a text is one to three plain words, or a number in any digits; false where it does not apply."""
+    t = F.regexp_replace(F.lower(F.upper(c)), r"\A\.+|\.+\z", "")  # both, as one capital may stand for two small letters
+    words = F.size(F.split(F.regexp_replace(c, r"(?U)\A\s+|\s+\z", ""), r"(?U)\s+"))
+    short = (words <= max_words) & (t.rlike(r"\A[a-z]+([ -][a-z]+){0,2}\z") | t.rlike(r"(?U)\A\d+(\.\d+)?\z"))
+    return short if applies is None else F.coalesce(applies, F.lit(False)) & short
 
 
 def task_of(function: Column) -> Column:
@@ -90,3 +91,16 @@ def image_format(magic: Column) -> Column:
     """Format of an image from its first bytes."""
     h = F.hex(magic)
     return F.when(h.startswith("FFD8FF"), "JPEG").when(h.startswith("89504E470D0A1A0A"), "PNG").when(h.startswith("52494646") & (F.substring(h, 17, 8) == "57454250"), "WEBP")
+
+
+def image_blobs(images: Column) -> Column:
+    """The images of a row that are not null."""
+    return F.filter(images, lambda x: x.isNotNull())
+
+
+def image_whole(data: Column) -> Column:
+    """Whether bytes begin and end as an image of their format must; pixels are not decoded."""
+    kind, h = image_format(data), F.hex(data)
+    size = F.concat(*[F.substring(h, at, 2) for at in (15, 13, 11, 9)])  # bytes after the first eight, little-endian
+    ends = F.when(kind == "JPEG", h.endswith("FFD9")).when(kind == "PNG", h.endswith("49454E44AE426082")).when(kind == "WEBP", F.conv(size, 16, 10).cast("long") == F.octet_length(data) - 8)
+    return F.coalesce(ends, F.lit(False))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.graph import components
+from millrace.storage import materialise
+
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -17,39 +20,66 @@ def tokens(text: str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc: str, item: str) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, doc: str, item: str, few: int = 10_000) -> DataFrame:
     """Documents that hold a whole item of a benchmark, and how many different ones.
 
-    Runs of as many words as the shortest item has are the join keys: an item is looked up by
-    its first such run, and where that run stands the whole item is compared in place.  Items
-    are few and fixed in number, their texts are not broadcast.
+    Runs of as many words as the shortest item has are the keys: an item is looked up by its
+    first such run, and where that run stands the whole item is compared in place.  Up to
+    ``few`` items are looked up within the row of a text, so only hits leave it and no text is
+    shuffled; the runs of texts meet more items in a join, and then their texts by id.
     """
     items = benchmark.select(F.col(item).alias("item"), tokens("text").alias("words")).where("size(words) > 0")
-    least = items.agg(F.min(F.size("words")).alias("n")).first().n or 1
+    facts = items.agg(F.min(F.size("words")).alias("least"), F.count("*").alias("n")).first()
+    least = facts.least or 1
     run = lambda words, at: F.xxhash64(F.slice(words, at, F.lit(least)))
     keyed = items.select("item", F.col("words").alias("wanted"), run("words", F.lit(1)).alias("key"))
     d = docs.select(F.col(doc), tokens("text").alias("words")).where(f"size(words) >= {least}")
-    starts = d.select(doc, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - least + 1), lambda i: run("words", i))).alias("at", "key"))
-    hits = starts.join(keyed, "key").select(doc, "at", "item", "wanted")
-    whole = hits.join(d, doc).where("slice(words, at + 1, size(wanted)) = wanted")
+    place = F.sequence(F.lit(1), F.size("words") - least + 1)
+    if facts.n <= few:
+        known = keyed.select(F.get("wanted", F.lit(0)).alias("first"), "key").distinct().collect()  # at most `few` rows
+        firsts, keys = sorted({r.first for r in known}), sorted({r.key for r in known})
+        starts = F.filter(place, lambda i: F.element_at("words", i).isin(firsts) & run("words", i).isin(keys))
+        hits = d.select(doc, "words", F.explode(starts).alias("at")).withColumn("key", run("words", F.col("at")))
+        whole = hits.join(F.broadcast(keyed), "key").where("slice(words, at, size(wanted)) = wanted")
+    else:
+        starts = d.select(doc, F.posexplode(F.transform(place, lambda i: run("words", i))).alias("at", "key"))
+        hits = starts.join(keyed, "key").select(doc, "at", "item", "wanted")
+        whole = hits.join(d, doc).where("slice(words, at + 1, size(wanted)) = wanted")
     return whole.groupBy(doc).agg(F.count_distinct("item").alias("n_items"))
 
 
-def ngram_pairs(df: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of rows (id, text) whose sets of character n-grams reach a Jaccard similarity.
+def ngram_links(texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different ``texts`` (node, text) whose sets of character n-grams reach a Jaccard similarity.
 
     Prefix filtering: two such sets share one of the rarest grams of each, so only the first
-    size - ceil(threshold * size) + 1 grams in order of frequency are join keys.
+    size - ceil(threshold * size) + 1 grams in order of frequency are join keys.  Only nodes and
+    sizes meet there; the sets are compared once for each pair that is left.
     """
-    grams = df.where(F.length("text") >= n).select("id", F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i: F.substring("text", i, F.lit(n)))).alias("grams"))
-    each = grams.select("id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    grams = texts.where(F.length("text") >= n).select("node", F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i: F.substring("text", i, F.lit(n)))).alias("grams"))
+    each = grams.select("node", F.explode("grams").alias("gram"))
     often = each.groupBy("gram").agg(F.count("*").alias("df"))
-    ordered = each.join(often, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    sets = ordered.select("id", F.transform("g", lambda x: x["gram"]).alias("g"))
-    prefix = sets.select("id", "g", F.explode(F.slice("g", F.lit(1), F.size("g") - F.ceil(F.size("g") * threshold).cast("int") + 1)).alias("gram"))
-    a, b = (prefix.select("gram", F.col("id").alias(c), F.col("g").alias(f"g{c}")) for c in "ab")
-    near = (F.size("ga") >= F.size("gb") * threshold) & (F.size("gb") >= F.size("ga") * threshold)
-    found = a.join(b, "gram").where((F.col("a") < F.col("b")) & near).dropDuplicates(["a", "b"])
+    ordered = each.join(often, "gram").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    sets = materialise(ordered.select("node", F.transform("g", lambda x: x["gram"]).alias("g")), "grams")
+    prefix = sets.select("node", F.size("g").alias("n"), F.explode(F.slice("g", F.lit(1), F.size("g") - F.ceil(F.size("g") * threshold).cast("int") + 1)).alias("gram"))
+    a, b = (prefix.select("gram", F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+    near = (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)
+    pairs = a.join(b, "gram").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    one, two = (sets.select(F.col("node").alias(c), F.col("g").alias(f"g{c}")) for c in "ab")
     shared = F.size(F.array_intersect("ga", "gb"))
     jaccard = shared / (F.size("ga") + F.size("gb") - shared)
-    return found.withColumn("jaccard", jaccard).where(F.col("jaccard") >= threshold).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return pairs.join(one, "a").join(two, "b").where(jaccard >= threshold).select("a", "b")
+
+
+def ngram_classes(df: DataFrame, n: int, threshold: float) -> DataFrame:
+    """id, class_id and n_links of every row of ``df`` (id, text): classes of texts linked by :func:`ngram_links`.
+
+    Equal texts are one node, so copies meet no partner twice; ``class_id`` is the smallest id
+    of a class and ``n_links`` the number of different texts that a row's text is linked with.
+    """
+    nodes = df.groupBy("text").agg(F.min("id").alias("node"))
+    links = materialise(ngram_links(nodes, n, threshold), "links")
+    comps = components(links)
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    named = nodes.join(comps, "node", "left").join(ends, "node", "left")
+    named = named.select(F.col("text").alias("_text"), F.coalesce("comp", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return df.join(named, F.col("text").eqNullSafe(F.col("_text"))).select("id", "class_id", "n_links")

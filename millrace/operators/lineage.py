@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.storage import materialise
 
 
 def canonical_json(value: object) -> str:
@@ -50,13 +55,48 @@ def register(existing: DataFrame, new: DataFrame, key: str, content: str) -> Dat
 
 
 def ancestors(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(id, ancestor, depth): all ancestors of ``roots`` (id) over ``edges`` (child, parent), the least depth for each."""
-    spark = edges.sparkSession
-    return spark.sql(
-        """WITH RECURSIVE up(id, ancestor, depth) AS (
-            SELECT r.id, e.parent, 1 FROM {roots} r JOIN {edges} e ON e.child = r.id
-            UNION ALL SELECT u.id, e.parent, u.depth + 1 FROM up u JOIN {edges} e ON e.child = u.ancestor WHERE u.depth < 50)
-        SELECT id, ancestor, cast(min(depth) AS bigint) AS depth FROM up GROUP BY id, ancestor""",
-        edges=edges,
-        roots=roots,
-    )
+    """(id, ancestor, depth): all ancestors of ``roots`` (id) over ``edges`` (child, parent), the least depth for each.
+
+    Each step goes one edge up from what the step before has found and keeps what is new, so it
+    ends at any depth, and in a cycle, where an id is its own ancestor.
+    """
+    up = edges.select(F.col("child").alias("_child"), F.col("parent").alias("_parent")).where("_parent is not null").distinct()
+    depth = 1
+    new = roots.select("id").distinct().join(up, F.col("id") == F.col("_child")).select("id", F.col("_parent").alias("ancestor"), F.lit(depth).cast("long").alias("depth"))
+    found = new = materialise(new, "ancestors")
+    while not new.isEmpty():
+        depth += 1
+        step = new.join(up, F.col("ancestor") == F.col("_child")).select("id", F.col("_parent").alias("ancestor")).distinct()
+        new = materialise(step.join(found, ["id", "ancestor"], "left_anti").withColumn("depth", F.lit(depth).cast("long")), "ancestors")
+        found = found.unionByName(new)
+    return found
+
+
+def with_files(artifacts: DataFrame, uri: str = "uri") -> DataFrame:
+    """``artifacts`` with ``on_disk``: its path exists, and if it is a folder, with a ``_SUCCESS`` marker.
+
+    Paths are looked up on the executors; a null path does not exist.
+    """
+    names = artifacts.columns
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            there = []
+            for path in batch.column(names.index(uri)).to_pylist():
+                if path is None:
+                    there.append(False)
+                    continue
+                store, at = fs.FileSystem.from_uri(path)
+                kind = store.get_file_info(at).type
+                there.append(kind == fs.FileType.File or (kind == fs.FileType.Directory and store.get_file_info(f"{at}/_SUCCESS").type == fs.FileType.File))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(there, pa.bool_())], [*names, "on_disk"])
+
+    return artifacts.mapInArrow(look, T.StructType([*artifacts.schema.fields, T.StructField("on_disk", T.BooleanType())]))
+
+
+def is_complete(artifacts: DataFrame, uri: str = "uri") -> DataFrame:
+    """``artifacts`` (with status and complete) with ``is_complete``: succeeded, marked complete, and on disk."""
+    done = (F.col("status") == "SUCCEEDED") & F.col("complete") & F.col("on_disk")
+    return with_files(artifacts, uri).withColumn("is_complete", F.coalesce(done, F.lit(False))).drop("on_disk")

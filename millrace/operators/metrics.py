@@ -34,15 +34,21 @@ def weighted_loss(total: str = "sum_nll", tokens: str = "tokens") -> Column:
 
 
 def paired_change(df: DataFrame, sets: list[list[str]]) -> DataFrame:
-    """Accuracy before and after, change in points, and rows that turned either way."""
+    """Accuracy before and after, change in points, rows that turned either way, and answers that could not be parsed.
+
+    ``df`` has base and after, and base_valid and after_valid; what cannot be parsed is wrong, but counts.
+    """
     aggs = [
         F.count("*").alias("n"),
         F.count_if("base").alias("base_correct"),
         F.count_if("after").alias("after_correct"),
         F.count_if(F.col("base") & ~F.col("after")).alias("correct_to_wrong"),
         F.count_if(~F.col("base") & F.col("after")).alias("wrong_to_correct"),
+        F.count_if(~F.col("base_valid")).alias("base_invalid"),
+        F.count_if(~F.col("after_valid")).alias("after_invalid"),
     ]
     d = grouping_sets(df, sets, aggs)
+    d = d.withColumns({f"{c}_accuracy": ratio(F.col(f"{c}_correct"), F.col("n")) for c in ("base", "after")})
     delta = F.round(100 * (F.col("after_correct") - F.col("base_correct")) / F.col("n"), 6)
     direction = F.when(delta > 0, "observed_increase").when(delta < 0, "observed_decrease").otherwise("unchanged")
     return d.withColumn("delta_pp", delta).withColumn("direction", direction)

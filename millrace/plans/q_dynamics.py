@@ -39,11 +39,11 @@ def dyn_baseline_gain(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "dyn_group_history",
     f"""WITH {_LAG}, g AS (SELECT sample_id % 4 AS grp, round, count(*) AS n, round(avg(correct::INTEGER), 9) AS accuracy, round((sum(loss::DECIMAL(30,6)))::DOUBLE / count(*), 6) AS mean_loss,
-    count(*) FILTER (prev AND NOT correct) AS forgetting FROM h WHERE round < 6 GROUP BY ALL)
+    count(*) FILTER (prev AND NOT correct) AS forgetting FROM h GROUP BY ALL)
     SELECT grp, round, n::BIGINT AS n, accuracy, mean_loss, forgetting::BIGINT AS forgetting, round(mean_loss - lag(mean_loss) OVER (PARTITION BY grp ORDER BY round), 6) AS delta FROM g""",
 )
 def dyn_group_history(spark: SparkSession, sf: str) -> DataFrame:
-    h = D.with_transitions(V.history(spark, sf)).where("round < 6")
+    h = D.with_transitions(V.history(spark, sf))
     g = h.groupBy((F.col("sample_id") % 4).alias("grp"), "round").agg(
         F.count("*").alias("n"), F.round(F.avg(F.col("correct").cast("int")), 9).alias("accuracy"), F.round(F.sum(F.col("loss").cast("decimal(30,6)")).cast("double") / F.count("*"), 6).alias("mean_loss"), F.count_if(F.col("transition") == "forgotten").alias("forgetting")
     )
@@ -53,14 +53,14 @@ def dyn_group_history(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "dyn_alignment",
-    f"""WITH {V.HISTORY}, h AS (SELECT sample_id, round, round * 10 + CASE WHEN sample_id % 50 = 0 AND round = 2 THEN 1 ELSE 0 END AS step, sample_id % 3 + CASE WHEN sample_id % 40 = 0 AND round = 1 THEN 1 ELSE 0 END AS bucket FROM history WHERE round < 5 AND NOT (sample_id % 30 = 0 AND round = 3)),
+    f"""WITH {V.HISTORY}, h AS (SELECT sample_id, round, round * 10 + CASE WHEN sample_id % 50 = 0 AND round = 2 THEN 1 ELSE 0 END AS step, sample_id % 3 + CASE WHEN sample_id % 40 = 0 AND round = 1 THEN 1 ELSE 0 END AS bucket FROM history WHERE NOT (sample_id % 30 = 0 AND round = 3)),
     p AS (SELECT sample_id, count(*) AS n, count(DISTINCT round) AS r, count(DISTINCT bucket) AS b FROM h GROUP BY sample_id),
     s AS (SELECT round, min(step) AS low, max(step) AS high FROM h GROUP BY round), l AS (SELECT *, lag(high) OVER (ORDER BY round) AS before FROM s)
     SELECT 'missing_round' AS "check", count(*) FILTER (r < (SELECT count(DISTINCT round) FROM h))::BIGINT AS n FROM p UNION ALL SELECT 'repeated_round', count(*) FILTER (n > r)::BIGINT FROM p
     UNION ALL SELECT 'changed_bucket', count(*) FILTER (b > 1)::BIGINT FROM p UNION ALL SELECT 'step_not_rising', count(*) FILTER (low <= before OR low <> high)::BIGINT FROM l""",
 )
 def dyn_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    h = V.history(spark, sf).where("round < 5 and not (sample_id % 30 = 0 and round = 3)")
+    h = V.history(spark, sf).where("not (sample_id % 30 = 0 and round = 3)")
     step = F.col("round") * 10 + ((F.col("sample_id") % 50 == 0) & (F.col("round") == 2)).cast("int")
     bucket = F.col("sample_id") % 3 + ((F.col("sample_id") % 40 == 0) & (F.col("round") == 1)).cast("int")
     return D.alignment_errors(h.select("sample_id", "round", step.alias("step"), bucket.alias("bucket")), ["bucket"])

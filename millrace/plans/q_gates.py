@@ -185,14 +185,16 @@ def dedup_conflict(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "dedup_ngram_jaccard",
-    r"""WITH t AS (SELECT p_partkey AS id, list_distinct(list_transform(range(1, length(p_name) - 1), lambda i: substr(p_name, i, 3))) AS g FROM part WHERE length(p_name) >= 3),
-    e AS (SELECT id, len(g) AS n, unnest(g) AS gram FROM t),
-    p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL)
-    SELECT a, b, round(shared::DOUBLE / (na + nb - shared), 6) AS jaccard FROM p WHERE shared::DOUBLE / (na + nb - shared) >= 0.85""",
+    r"""WITH RECURSIVE u AS (SELECT p_name AS text, min(p_partkey) AS node FROM part GROUP BY p_name), t AS (SELECT node, list_distinct(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) AS g FROM u WHERE length(text) >= 3),
+    e AS (SELECT node, len(g) AS n, unnest(g) AS gram FROM t),
+    p AS (SELECT a.node AS a, b.node AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.gram = b.gram AND a.node <> b.node GROUP BY ALL),
+    l AS MATERIALIZED (SELECT a, b FROM p WHERE shared::DOUBLE / (na + nb - shared) >= 0.85),
+    r(node, other) AS (SELECT node, node FROM u UNION SELECT r.node, l.b FROM r JOIN l ON r.other = l.a)
+    SELECT p_partkey AS id, class_id, n_links FROM part JOIN u ON p_name = text JOIN (SELECT node, min(other) AS class_id FROM r GROUP BY node) USING (node) JOIN (SELECT u.node, count(l.b)::BIGINT AS n_links FROM u LEFT JOIN l ON u.node = l.a GROUP BY u.node) USING (node)""",
 )
 def dedup_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     p = V.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    return DD.ngram_pairs(p, 3, 0.85)
+    return DD.ngram_classes(p, 3, 0.85)
 
 
 @register(

@@ -78,12 +78,14 @@ def agg_nll_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "agg_paired_change",
     f"""WITH {V.PAIRED}, a AS (SELECT CASE WHEN grouping(lang) = 1 THEN 'overall' ELSE 'lang' END AS level, lang, count(*)::BIGINT AS n, count(*) FILTER (base)::BIGINT AS base_correct, count(*) FILTER (after)::BIGINT AS after_correct,
-    count(*) FILTER (base AND NOT after)::BIGINT AS correct_to_wrong, count(*) FILTER (NOT base AND after)::BIGINT AS wrong_to_correct FROM paired GROUP BY GROUPING SETS ((), (lang)))
-    SELECT *, round(100 * (after_correct - base_correct)::DOUBLE / n, 6) AS delta_pp,
+    count(*) FILTER (base AND NOT after)::BIGINT AS correct_to_wrong, count(*) FILTER (NOT base AND after)::BIGINT AS wrong_to_correct, count(*) FILTER (NOT base AND doc_id % 13 = 0)::BIGINT AS base_invalid, count(*) FILTER (NOT after AND doc_id % 6 = 0)::BIGINT AS after_invalid FROM paired GROUP BY GROUPING SETS ((), (lang)))
+    SELECT *, round(base_correct::DOUBLE / n, 9) AS base_accuracy, round(after_correct::DOUBLE / n, 9) AS after_accuracy, round(100 * (after_correct - base_correct)::DOUBLE / n, 6) AS delta_pp,
     CASE WHEN after_correct > base_correct THEN 'observed_increase' WHEN after_correct < base_correct THEN 'observed_decrease' ELSE 'unchanged' END AS direction FROM a""",
 )
 def agg_paired_change(spark: SparkSession, sf: str) -> DataFrame:
-    return M.paired_change(V.paired(spark, sf).select("lang", "base", "after"), [[], ["lang"]])
+    p = V.paired(spark, sf)
+    unread = {"base_valid": F.col("base") | (F.col("doc_id") % 13 != 0), "after_valid": F.col("after") | (F.col("doc_id") % 6 != 0)}
+    return M.paired_change(p.withColumns(unread), [[], ["lang"]])
 
 
 @register(

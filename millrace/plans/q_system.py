@@ -23,7 +23,7 @@ def src_jsonl_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return io.read_jsonl(spark, path, "conv_id long, turn long, role string, text string")
 
 
-@register("val_jsonl_errors", "SELECT CASE WHEN p_partkey % 9 = 0 THEN 'invalid_json' ELSE 'ok' END AS error, count(*)::BIGINT AS n, sum(CASE WHEN p_partkey % 9 <> 0 AND p_partkey % 4 <> 0 THEN p_size ELSE 0 END)::BIGINT AS total FROM part GROUP BY 1")
+@register("val_jsonl_errors", "SELECT CASE WHEN p_partkey % 9 = 0 THEN 'invalid_json' ELSE 'ok' END AS error, count(*)::BIGINT AS n, count(*)::BIGINT AS n_lines, sum(CASE WHEN p_partkey % 9 <> 0 AND p_partkey % 4 <> 0 THEN p_size ELSE 0 END)::BIGINT AS total FROM part GROUP BY 1")
 def val_jsonl_errors(spark: SparkSession, sf: str) -> DataFrame:
     p = V.table(spark, sf, "part")
     size = F.when(F.col("p_partkey") % 4 == 0, F.lit('"x"')).otherwise(F.col("p_size").cast("string"))
@@ -31,18 +31,62 @@ def val_jsonl_errors(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "lines")
     p.select(line.alias("value")).write.text(path)
     read = io.read_jsonl_tolerant(spark, path, "size long")
-    return read.groupBy(F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count("*").alias("n"), F.coalesce(F.sum("record.size"), F.lit(0)).alias("total"))
+    return read.groupBy(F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count("*").alias("n"), F.count_distinct("file", "line_number").alias("n_lines"), F.coalesce(F.sum("record.size"), F.lit(0)).alias("total"))
 
 
-@register("src_json_doc_explode", "SELECT p_partkey AS question_index, p_name AS question FROM part WHERE p_partkey <= 50")
+@register("src_json_doc_explode", "SELECT p_partkey AS question_index, p_name AS question FROM part")
 def src_json_doc_explode(spark: SparkSession, sf: str) -> DataFrame:
-    """A document with a list of questions, written as one file and exploded."""
+    """Documents that each list the questions of a hash range, written a file each and exploded."""
     path = new_path(spark, "document")
-    rows = V.table(spark, sf, "part").where("p_partkey <= 50").select(F.struct(F.col("p_partkey").alias("question_index"), F.col("p_name").alias("question")).alias("q"))
-    rows.agg(F.to_json(F.struct(F.collect_list("q").alias("questions"))).alias("value")).write.text(path)
+    p = V.table(spark, sf, "part")
+    ranges = max(1, -(-p.count() // 2_000))
+    rows = p.select(F.pmod(F.xxhash64("p_partkey"), F.lit(ranges)).alias("range"), F.struct(F.col("p_partkey").alias("question_index"), F.col("p_name").alias("question")).alias("q"))
+    documents = rows.groupBy("range").agg(F.to_json(F.struct(F.collect_list("q").alias("questions"))).alias("value"))
+    documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return io.read_documents(spark, path, "questions array<struct<question_index:long,question:string>>", "questions")
 
 
+@register("src_first_rows", "SELECT o_orderkey, o_totalprice FROM orders LIMIT 100")
+def src_first_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What an inspection shows: the first hundred rows as they stand in the file."""
+    return io.first_rows(V.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "_metadata"), 100).drop("_metadata")
+
+
+@register("src_footers", "SELECT count(*)::BIGINT AS n_rows, 'o_orderkey,o_totalprice' AS columns, TRUE AS all_bounded FROM orders")
+def src_footers(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts from the footers of a written table, without a scan."""
+    path = new_path(spark, "footers")
+    io.write_parquet(V.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), path, rows_per_file=5_000)
+    f = io.footers(spark, path)
+    return f.agg(F.sum("n_rows").alias("n_rows"), F.array_join(F.min("columns"), ",").alias("columns"), (F.max("n_rows") <= 5_000).alias("all_bounded"))
+
+
+@register("flt_limit_smoke", "SELECT p_partkey, FALSE AS complete FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
+def flt_limit_smoke(spark: SparkSession, sf: str) -> DataFrame:
+    """A result with an explicit limit is marked as not complete."""
+    p = V.table(spark, sf, "part").withColumn("down", -F.col("p_retailprice"))
+    return io.limited(p, ["down", "p_partkey"], 20).select("p_partkey", "complete")
+
+
+@register("join_blob", "SELECT n_nationkey, 'flag of ' || n_name AS content FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT n_nationkey, NULL FROM nation WHERE n_nationkey % 5 = 0")
+def join_blob(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows with the content of the file that they name; some files are not there."""
+    n = V.table(spark, sf, "nation").select("n_nationkey", "n_name")
+    root = new_path(spark, "blobs")
+    io.put_files(root, {f"{r.n_nationkey}.txt": f"flag of {r.n_name}".encode() for r in n.where("n_nationkey % 5 <> 0").collect()})  # a table of 25 rows
+    named = n.withColumn("file", F.concat("n_nationkey", F.lit(".txt")))
+    return io.with_blobs(named, io.list_files(spark, root), "file").select("n_nationkey", F.col("blob").cast("string").alias("content"))
+
+
+@register("snk_blob_export", "SELECT c_mktsegment AS content, sha256(c_mktsegment) || '.txt' AS name, count(*)::BIGINT AS n FROM customer GROUP BY ALL")
+def snk_blob_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Different contents as files named by their hash; the files are read back and met by name."""
+    root = new_path(spark, "export")
+    c = V.table(spark, sf, "customer").select(F.encode("c_mktsegment", "utf-8").alias("data"), F.lit(".txt").alias("suffix"))
+    named = io.export_blobs(c, "data", "suffix", root).groupBy("name").agg(F.count("*").alias("n"))
+    return io.with_blobs(named, io.list_files(spark, root), "name").select(F.col("blob").cast("string").alias("content"), "name", "n")
+
+
 @register("src_parquet_project", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 100000")
 def src_parquet_project(spark: SparkSession, sf: str) -> DataFrame:
     return V.table(spark, sf, "orders").where("o_totalprice > 100000").select("o_orderkey", "o_orderstatus")
@@ -95,25 +139,32 @@ def lin_resolve(spark: SparkSession, sf: str) -> DataFrame:
     return lin_registry_latest(spark, sf).where("status = 'SUCCEEDED' and complete").orderBy(F.desc("pos")).limit(1).select("artifact_id", "pos")
 
 
-@register("lin_register", "SELECT * FROM (VALUES ('a', 'noop'), ('c', 'collision'), ('d', 'insert')) t(artifact_id, action)")
+@register("lin_register", f"WITH l AS (SELECT artifact_id, content FROM {_REG} QUALIFY row_number() OVER (PARTITION BY artifact_id ORDER BY pos DESC) = 1), n AS (SELECT * FROM (VALUES ('a', 'h1'), ('c', 'other'), ('d', 'h9')) t(artifact_id, content)) SELECT n.artifact_id, CASE WHEN l.content IS NULL THEN 'insert' WHEN l.content = n.content THEN 'noop' ELSE 'collision' END AS action FROM n LEFT JOIN l USING (artifact_id)")
 def lin_register(spark: SparkSession, sf: str) -> DataFrame:
     new = spark.createDataFrame([("a", "h1"), ("c", "other"), ("d", "h9")], "artifact_id string, content string")
     return L.register(lin_registry_latest(spark, sf), new, "artifact_id", "content")
 
 
-@register("lin_is_complete", "SELECT nation AS artifact_id, nation <> 'n3' AS complete FROM (SELECT 'n' || n_nationkey AS nation FROM nation)")
+@register("lin_is_complete", "SELECT n_nationkey, n_nationkey % 7 <> 0 AND n_nationkey % 11 <> 4 AND n_nationkey % 5 NOT IN (1, 2) AS is_complete FROM nation")
 def lin_is_complete(spark: SparkSession, sf: str) -> DataFrame:
-    """Artifacts whose files and completion marker are in a listing."""
-    registry = V.table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("artifact_id"))
-    listing = registry.where("artifact_id <> 'n3'").select("artifact_id", F.lit(True).alias("_found"))
-    return registry.join(listing, "artifact_id", "left").select("artifact_id", F.coalesce("_found", F.lit(False)).alias("complete"))
-
-
-@register("lin_ancestors", "WITH RECURSIVE up(id, ancestor, depth) AS (SELECT p_partkey, p_partkey // 3, 1 FROM part WHERE p_partkey % 10 = 0 AND p_partkey > 0 UNION ALL SELECT id, ancestor // 3, depth + 1 FROM up WHERE ancestor > 0) SELECT id, ancestor, min(depth)::BIGINT AS depth FROM up GROUP BY ALL")
+    """Artifacts that succeeded, are marked complete and are on disk: a file, or a folder with its marker."""
+    k = F.col("n_nationkey")
+    root = new_path(spark, "artifacts")
+    registry = V.table(spark, sf, "nation").select(k, F.concat(F.lit(root + "/n"), k).alias("uri"), F.when(k % 7 == 0, "FAILED").otherwise("SUCCEEDED").alias("status"), (k % 11 != 4).alias("complete"))
+    files = {}
+    for r in registry.collect():  # a table of 25 rows
+        kind = r.n_nationkey % 5  # 1: not there, 2: a folder without a marker, 3: a file, else a folder with its marker
+        if kind != 1:
+            files["n%d" % r.n_nationkey + {2: "/part", 3: ""}.get(kind, "/_SUCCESS")] = b""
+    io.put_files(root, files)
+    return L.is_complete(registry).select("n_nationkey", "is_complete")
+
+
+@register("lin_ancestors", "WITH RECURSIVE up(id, ancestor, depth) AS (SELECT p_partkey, p_partkey // 3, 1 FROM part WHERE p_partkey > 0 UNION ALL SELECT id, ancestor // 3, depth + 1 FROM up WHERE ancestor > 0) SELECT id, ancestor, min(depth)::BIGINT AS depth FROM up GROUP BY ALL")
 def lin_ancestors(spark: SparkSession, sf: str) -> DataFrame:
     p = V.table(spark, sf, "part").where("p_partkey > 0")
     edges = p.select(F.col("p_partkey").alias("child"), F.floor(F.col("p_partkey") / 3).alias("parent"))
-    return L.ancestors(edges, p.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id")))
+    return L.ancestors(edges, p.select(F.col("p_partkey").alias("id")))
 
 
 @register("lin_config_hash", """SELECT n_nationkey, sha256('{"name":"' || n_name || '","region":' || n_regionkey || '}') AS config_hash FROM nation""")
@@ -121,12 +172,13 @@ def lin_config_hash(spark: SparkSession, sf: str) -> DataFrame:
     return V.table(spark, sf, "nation").select("n_nationkey", F.sha2(F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))), 256).alias("config_hash"))
 
 
-@register("lin_dir_hash")
+@register("lin_dir_hash", """SELECT sha256(string_agg(line, chr(0) ORDER BY line)) AS directory_hash, count(*)::BIGINT AS n_files FROM (SELECT 'sub/n' || n_nationkey || '.txt' || chr(0) || sha256(n_name) AS line FROM nation)""")
 def lin_dir_hash(spark: SparkSession, sf: str) -> DataFrame:
-    """Hash of a folder; file names are the writer's, so only a rows-only check applies."""
-    path = new_path(spark, "folder")
-    V.table(spark, sf, "nation").coalesce(1).orderBy("n_nationkey").select("n_name").write.text(path)
-    return L.directory_hash(io.list_files(spark, path), path.split("/")[-1])
+    """Hash of a folder from its files' relative paths and contents; markers and manifests do not count."""
+    root = new_path(spark, "folder")
+    files = {f"sub/n{r.n_nationkey}.txt": r.n_name.encode() for r in V.table(spark, sf, "nation").collect()}  # a table of 25 rows
+    io.put_files(root, files | {"manifest.json": b"{}", "sub/stats.json": b"{}"})
+    return L.directory_hash(io.list_files(spark, root), root.split("/")[-1])
 
 
 _STATE = "CASE event_type WHEN 'click' THEN 'RUNNING' WHEN 'view' THEN 'SUCCEEDED' WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'REVIEW' ELSE 'PENDING' END"
@@ -175,7 +227,7 @@ def _event_files(spark: SparkSession, sf: str) -> str:
 
 @register("st_event_dedup", "SELECT event_id, event_type FROM events")
 def st_event_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return E.run_available(E.deduplicated(E.read_events(spark, _event_files(spark, sf)), late="3650 days").select("event_id", "event_type"))
+    return E.run_available(E.deduplicated(E.read_events(spark, _event_files(spark, sf)), late="1 day").select("event_id", "event_type"))
 
 
 @register("st_tumbling", "SELECT date_trunc('day', ts) AS day, event_type, count(*)::BIGINT AS n, round(sum(value::DECIMAL(18,6))::DOUBLE, 4) AS total FROM events GROUP BY ALL")
@@ -199,7 +251,7 @@ def vec_normalise(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.col("id").alias("vec_id"), F.round(F.sqrt(X.dot(F.col("v"), F.col("v"))), 5).alias("length"), F.round(X.dot(F.col("u"), F.col("u")), 6).alias("unit"))
 
 
-_SIM = f"""u AS (SELECT vec_id, label, {_UNIT} AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS cand_id, a.label = b.label AS hit, round(list_dot_product(a.e, b.e), 6) AS similarity FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+_SIM = f"""u AS (SELECT vec_id, label, {_UNIT} AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS cand_id, a.label = b.label AS hit, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS similarity FROM u a JOIN u b ON a.vec_id <> b.vec_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, cand_id) AS rank FROM s)"""
 
 
@@ -284,7 +336,7 @@ def ctl_inner_mix(spark: SparkSession, sf: str) -> DataFrame:
     return C.inner_mix(d, "share", "share", "multiplier", "frozen").select("bucket", F.round("new_share", 9).alias("new_share"))
 
 
-_GAINS = f"{V.HISTORY}, g AS (SELECT sample_id, round, loss - lag(loss, 1, 0) OVER (PARTITION BY sample_id ORDER BY round) AS gain, loss FROM history WHERE round < 8)"
+_GAINS = f"{V.HISTORY}, g AS (SELECT sample_id, round, loss - lag(loss, 1, 0) OVER (PARTITION BY sample_id ORDER BY round) AS gain, loss FROM history)"
 
 
 @register(
@@ -294,7 +346,7 @@ _GAINS = f"{V.HISTORY}, g AS (SELECT sample_id, round, loss - lag(loss, 1, 0) OV
 )
 def ctl_gate(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("sample_id").orderBy("round")
-    g = V.history(spark, sf).where("round < 8").withColumn("gain", F.col("loss") - F.lag("loss", 1, 0.0).over(w))
+    g = V.history(spark, sf).withColumn("gain", F.col("loss") - F.lag("loss", 1, 0.0).over(w))
     return C.gain_gate(g, "sample_id", "round", "gain", 1.0).select("sample_id", "round", "streak", "state")
 
 

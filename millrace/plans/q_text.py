@@ -33,18 +33,30 @@ def prj_trainer_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "prj_suffix_rewrite",
-    "SELECT p_partkey, CASE WHEN c THEN left(p_type, length(p_type) - 5) || 'BRASS.' ELSE p_type END AS text, c AS changed FROM (SELECT *, p_size % 2 = 0 AND p_type LIKE '%BRASS' AS c FROM part)",
+    f"""WITH p AS (SELECT p_partkey, p_size % 3 <> 0 AND p_size % 2 = 0 AS applies, p_name || ' ' || CASE WHEN p_partkey % 3 = 0 THEN '{D.NEW_SUFFIX}' WHEN p_partkey % 3 = 1 OR (p_size % 3 <> 0 AND p_size % 2 = 0) THEN '{D.OLD_SUFFIX}' ELSE 'No suffix' END AS text FROM part)
+    SELECT p_partkey, CASE WHEN applies THEN p_name_of(text) || '{D.NEW_SUFFIX}' ELSE text END AS text, applies AND text LIKE '%{D.OLD_SUFFIX}' AS changed FROM p""".replace(
+        "p_name_of(text)", f"replace(replace(text, '{D.OLD_SUFFIX}', ''), '{D.NEW_SUFFIX}', '')"
+    ),
 )
 def prj_suffix_rewrite(spark: SparkSession, sf: str) -> DataFrame:
-    p = V.table(spark, sf, "part")
-    text, changed = D.rewrite_suffix(F.col("p_type"), F.col("p_size") % 2 == 0, "BRASS", "BRASS.")
+    """Prompts of one source and task get the new suffix; those of others keep whatever they end in."""
+    source, task = F.when(F.col("p_size") % 3 != 0, "clevr").otherwise("replay"), F.when(F.col("p_size") % 2 == 0, "comparison").otherwise("count")
+    p = V.table(spark, sf, "part").select("p_partkey", "p_name", source.alias("source"), task.alias("task_type"))
+    applies = (F.col("source") == "clevr") & (F.col("task_type") == "comparison")
+    suffix = F.when(F.col("p_partkey") % 3 == 0, D.NEW_SUFFIX).when((F.col("p_partkey") % 3 == 1) | applies, D.OLD_SUFFIX).otherwise("No suffix")
+    text, changed = D.rewrite_suffix(F.concat_ws(" ", "p_name", suffix), applies, F.lit("user"), F.col("p_partkey"))
     return p.select("p_partkey", text.alias("text"), changed.alias("changed"))
 
 
-@register("prj_prompt", "SELECT conv_id, turn, 'Question: ' || replace(text, 'the', '<image>') || ' Answer:' AS prompt FROM conversations WHERE role = 'user'")
+@register(
+    "prj_prompt",
+    f"""SELECT conv_id, turn, '<image>' || chr(10) || replace(replace(q, '<image 1>', 'the image'), '<image>', 'the image') || chr(10) || '{D.CHOICE_SUFFIX}' AS prompt
+    FROM (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'See <image 1>. ' WHEN 1 THEN '<image> or <image>: ' ELSE '' END || text AS q FROM conversations WHERE role = 'user')""",
+)
 def prj_prompt(spark: SparkSession, sf: str) -> DataFrame:
     c = V.table(spark, sf, "conversations").where("role = 'user'")
-    return c.select("conv_id", "turn", F.concat(F.lit("Question: "), F.replace("text", F.lit("the"), F.lit("<image>")), F.lit(" Answer:")).alias("prompt"))
+    marked = F.when(F.col("conv_id") % 3 == 0, "See <image 1>. ").when(F.col("conv_id") % 3 == 1, "<image> or <image>: ").otherwise("")
+    return c.select("conv_id", "turn", D.choice_prompt(F.concat(marked, F.col("text"))).alias("prompt"))
 
 
 @register("flt_array_exists", f"WITH {V.PROGRAMS} SELECT question_id FROM programs WHERE len(list_filter(program, lambda s: s.\"function\" = 'relate' AND s.value_inputs[1] IN ('left', 'right', 'front', 'behind', 'above', 'below'))) > 0")
@@ -86,24 +98,25 @@ def str_normalise_v2(spark: SparkSession, sf: str) -> DataFrame:
     return V.table(spark, sf, "conversations").select("conv_id", "turn", T.normalise_v2(F.col("text")).alias("text"))
 
 
-_LETTERS = "list_value('A', ' b. ', '(C)', '[D]。', '', 'A or B', 'AB', 'E', 'The answer is A.', 'A' || chr(10) || 'x', 'd', '(a).')"
+_LETTERS = "list_value('A', ' b. ', '(C)', '[D]。', '', 'A or B', 'AB', 'E', 'The answer is A.', 'A' || chr(10) || 'x', 'd', '(a).', '(A', '[B)')"
 
 
-@register("str_parse_letter", rf"SELECT p_partkey, nullif(upper(regexp_extract(t, '\A\s*[\(\[]?([A-Da-d])[\)\]]?[.。]?\s*\z', 1)), '') AS letter FROM (SELECT p_partkey, ({_LETTERS})[(p_partkey % 12 + 1)::INTEGER] AS t FROM part)")
+@register("str_parse_letter", rf"SELECT p_partkey, CASE WHEN regexp_matches(t, '\A\s*([A-Da-d]|\([A-Da-d]\)|\[[A-Da-d]\])[.。]?\s*\z') THEN upper(regexp_extract(t, '[A-Da-d]')) END AS letter FROM (SELECT p_partkey, ({_LETTERS})[(p_partkey % 14 + 1)::INTEGER] AS t FROM part)")
 def str_parse_letter(spark: SparkSession, sf: str) -> DataFrame:
-    texts = ["A", " b. ", "(C)", "[D]。", "", "A or B", "AB", "E", "The answer is A.", "A\nx", "d", "(a)."]
-    t = F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % 12 + 1).cast("int"))
+    texts = ["A", " b. ", "(C)", "[D]。", "", "A or B", "AB", "E", "The answer is A.", "A\nx", "d", "(a).", "(A", "[B)"]
+    t = F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % 14 + 1).cast("int"))
     return V.table(spark, sf, "part").select("p_partkey", T.parse_letter(t).alias("letter"))
 
 
 @register(
     "str_short_answer",
-    r"""SELECT p_partkey, len(string_split_regex(trim(t), '\s+')) <= 3 AND (regexp_full_match(regexp_replace(lower(t), '\A\.+|\.+\z', '', 'g'), '[a-z]+([ -][a-z]+){0,2}') OR regexp_full_match(regexp_replace(lower(t), '\A\.+|\.+\z', '', 'g'), '\d+(\.\d+)?')) AS short
-    FROM (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_type WHEN 1 THEN CAST(p_size AS VARCHAR) ELSE p_brand END AS t FROM part)""",
+    r"""SELECT p_partkey, p_partkey % 5 <> 0 AND len(string_split_regex(trim(t), '\s+')) <= 3 AND (regexp_full_match(regexp_replace(lower(t), '\A\.+|\.+\z', '', 'g'), '[a-z]+([ -][a-z]+){0,2}') OR regexp_full_match(regexp_replace(lower(t), '\A\.+|\.+\z', '', 'g'), '\pN+(\.\pN+)?')) AS short
+    FROM (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN p_type WHEN 1 THEN CAST(p_size AS VARCHAR) WHEN 2 THEN '٣.٥' WHEN 3 THEN ' two  words. ' ELSE p_brand END AS t FROM part)""",
 )
 def str_short_answer(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.when(F.col("p_size") % 3 == 0, F.col("p_type")).when(F.col("p_size") % 3 == 1, F.col("p_size").cast("string")).otherwise(F.col("p_brand"))
-    return V.table(spark, sf, "part").select("p_partkey", T.short_answer(t).alias("short"))
+    k = F.col("p_size") % 5
+    t = F.when(k == 0, F.col("p_type")).when(k == 1, F.col("p_size").cast("string")).when(k == 2, "٣.٥").when(k == 3, " two  words. ").otherwise(F.col("p_brand"))
+    return V.table(spark, sf, "part").select("p_partkey", T.short_answer(t, applies=F.col("p_partkey") % 5 != 0).alias("short"))
 
 
 _TASK = "CASE WHEN f LIKE 'query\\_%' ESCAPE '\\' THEN replace(f, 'query_', '') WHEN f = 'count' THEN 'count' WHEN f IN ('equal_integer', 'greater_than', 'less_than') THEN 'comparison' WHEN f IN ('exist', 'equal_color', 'equal_material', 'equal_shape', 'equal_size') THEN 'boolean_or_attribute' ELSE 'other' END"
@@ -167,29 +180,73 @@ def conv_profile(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Defects that are planted by conv_id: of roles, contents, tools and images.
+_PLANTED = """p AS (SELECT conv_id, conv_id % 13 AS k, CASE WHEN conv_id % 13 < 12 THEN CASE conv_id % 13 WHEN 0 THEN NULL
+    WHEN 1 THEN [{'role': 'user', 'content': NULL}, {'role': 'assistant', 'content': 'a'}] WHEN 2 THEN [{'role': 'user', 'content': 'q'}, {'role': 'assistant', 'content': ''}]
+    WHEN 3 THEN [{'role': 'user', 'content': '<image> what'}, {'role': 'assistant', 'content': 'a ' || conv_id}] WHEN 4 THEN [{'role': 'user', 'content': 'q'}, {'role': 'assistant', 'content': 'b ' || conv_id}]
+    WHEN 5 THEN [{'role': 'user', 'content': 'same'}, {'role': 'assistant', 'content': 'text'}] WHEN 6 THEN [{'role': 'system', 'content': 's'}, {'role': 'user', 'content': '<image>'}, {'role': 'assistant', 'content': 'c ' || conv_id}]
+    WHEN 7 THEN [{'role': 'user', 'content': 'q'}, {'role': 'assistant', 'content': 'd ' || conv_id}] WHEN 8 THEN [{'role': 'user', 'content': 'q'}, {'role': 'assistant', 'content': 'e ' || conv_id}]
+    WHEN 9 THEN [{'role': 'user', 'content': 'q <image> <image>'}, {'role': 'assistant', 'content': 'f'}] WHEN 10 THEN [{'role': 'assistant', 'content': 'x'}]
+    WHEN 11 THEN [{'role': 'user', 'content': 'q'}, {'role': 'assistant', 'content': 'g ' || conv_id}] END ELSE turns END AS turns FROM m)"""
+
+
 @register(
     "conv_reason_codes",
-    f"""WITH {_DIALOGUES}, r AS (SELECT turns, array_to_string(list_transform(turns, lambda t: t.role), ',') AS roles, list_filter(turns, lambda t: t.role = 'user')[1].content AS u, turns[-1].content AS a FROM m)
-    SELECT CASE WHEN roles NOT IN ('user,assistant', 'system,user,assistant') THEN 'unsupported_dialogue' WHEN len(list_filter(turns, lambda t: t.content IS NULL)) > 0 THEN 'invalid_content' WHEN u = '' OR a = '' OR contains(a, '<image>') THEN 'invalid_qa'
-    WHEN len(list_filter(turns, lambda t: contains(t.content, '<image>'))) > 0 THEN 'ambiguous_modality' ELSE 'accepted' END AS reason, count(*)::BIGINT AS n FROM r GROUP BY 1""",
+    f"""WITH {_DIALOGUES}, {_PLANTED}, f AS (SELECT *, CASE WHEN k IN (3, 6, 7, 11) THEN 1 WHEN k = 8 THEN 2 ELSE 0 END AS images, k = 7 AS placeholder, k = 6 AND conv_id % 2 = 0 AS broken, array_to_string(list_transform(turns, lambda t: t.role), ',') AS roles,
+        list_filter(turns, lambda t: t.role = 'user')[1].content AS u, turns[-1].content AS a, list_sum(list_transform(turns, lambda t: (length(t.content) - length(replace(t.content, '<image>', ''))) // 7)) AS marks FROM p),
+    r AS (SELECT *, CASE WHEN turns IS NULL THEN 'invalid_dialogue' WHEN roles NOT IN ('user,assistant', 'system,user,assistant') THEN 'unsupported_dialogue' WHEN len(list_filter(turns, lambda t: t.content IS NULL)) > 0 THEN 'invalid_content'
+        WHEN k = 4 THEN 'tool_sample' WHEN u = '' OR a = '' OR contains(a, '<image>') THEN 'invalid_qa' WHEN images > 1 THEN 'multi_image' WHEN images = 1 AND broken THEN 'parse_or_image_error'
+        WHEN (marks = 1 AND contains(u, '<image>') AND images = 1 AND NOT placeholder) OR (marks = 0 AND (images = 0 OR placeholder)) THEN 'accepted' ELSE 'ambiguous_modality' END AS reason FROM f),
+    d AS (SELECT CASE WHEN reason = 'accepted' AND row_number() OVER (PARTITION BY reason, turns::VARCHAR ORDER BY conv_id) > 1 THEN 'duplicate' ELSE reason END AS reason FROM r)
+    SELECT reason, count(*)::BIGINT AS n FROM d GROUP BY 1""",
 )
 def conv_reason_codes(spark: SparkSession, sf: str) -> DataFrame:
-    d = D.dialogues(V.table(spark, sf, "conversations")).withColumn("turns", D.normalised())
-    return d.groupBy(D.reason().alias("reason")).agg(F.count("*").alias("n"))
+    """Dialogues with planted defects by the first reason to reject them; copies of accepted ones are duplicates."""
+    d = D.dialogues(V.table(spark, sf, "conversations")).select("conv_id", (F.col("conv_id") % 13).alias("k"), D.normalised().alias("own"))
+    turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.cast("string").alias("content"))
+    pair = lambda user, answer: F.array(turn("user", user), turn("assistant", answer))
+    own = lambda letter: F.concat(F.lit(letter + " "), F.col("conv_id"))
+    q = F.lit("q")
+    planted = {
+        0: F.lit(None),
+        1: pair(F.lit(None), F.lit("a")),
+        2: pair(q, F.lit("")),
+        3: pair(F.lit("<image> what"), own("a")),
+        4: pair(q, own("b")),
+        5: pair(F.lit("same"), F.lit("text")),
+        6: F.array(turn("system", F.lit("s")), turn("user", F.lit("<image>")), turn("assistant", own("c"))),
+        7: pair(q, own("d")),
+        8: pair(q, own("e")),
+        9: pair(F.lit("q <image> <image>"), F.lit("f")),
+        10: F.array(turn("assistant", F.lit("x"))),
+        11: pair(q, own("g")),
+    }
+    kind = "array<struct<role:string,content:string>>"
+    turns = F.col("own").cast(kind)
+    for k, value in planted.items():
+        turns = F.when(F.col("k") == k, value.cast(kind)).otherwise(turns)
+    images = F.when(F.col("k").isin(3, 6, 7, 11), 1).when(F.col("k") == 8, 2).otherwise(0)
+    d = d.withColumn("turns", turns)
+    broken = (F.col("k") == 6) & (F.col("conv_id") % 2 == 0)
+    d = d.withColumn("reason", D.reason("turns", F.col("k") == 4, images, F.col("k") == 7, broken)).withColumn("sample_id", F.sha2(F.to_json("turns"), 256))
+    return D.with_duplicates(d, "sample_id", "conv_id").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 _SERVED = """CASE p_partkey % 6 WHEN 0 THEN '[{"role":"user","content":"q <image>"},{"role":"assistant","content":"a"}]' WHEN 1 THEN '[]' WHEN 2 THEN 'not json' WHEN 3 THEN '[{"role":"robot","content":"q"}]'
     WHEN 4 THEN '[{"role":"user","content":"q"}]' ELSE '[{"role":"user"}]' END"""
 
 
+_IMAGE = "CASE p_size % 4 WHEN 0 THEN '89504E470D0A1A0A0000000049454E44AE426082' WHEN 1 THEN 'FFD8FFE000104A46' WHEN 2 THEN 'FFD8FFE0FFD9' END"
+
+
 @register(
     "val_conversations",
-    """SELECT error, count(*)::BIGINT AS n FROM (SELECT unnest(CASE p_partkey % 6 WHEN 0 THEN CASE WHEN p_size % 2 = 0 THEN [] ELSE ['missing_image_bytes'] END WHEN 1 THEN ['conversations_not_nonempty_list'] WHEN 2 THEN ['invalid_conversations_json'] WHEN 3 THEN ['invalid_role']
-    WHEN 4 THEN CASE WHEN p_size % 2 = 0 THEN ['missing_image_token', 'missing_assistant_turn'] ELSE ['missing_image_token', 'missing_assistant_turn', 'missing_image_bytes'] END ELSE ['content_not_string'] END) AS error FROM part) GROUP BY error""",
+    """SELECT error, count(*)::BIGINT AS n FROM (SELECT unnest(list_concat(CASE p_partkey % 6 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['conversations_not_nonempty_list'] WHEN 2 THEN ['invalid_conversations_json'] WHEN 3 THEN ['invalid_role']
+    WHEN 4 THEN ['missing_image_token', 'missing_assistant_turn'] ELSE ['content_not_string'] END, CASE p_size % 4 WHEN 1 THEN ['invalid_image_bytes'] WHEN 3 THEN ['missing_image_bytes'] ELSE [] END)) AS error FROM part) GROUP BY error""",
 )
 def val_conversations(spark: SparkSession, sf: str) -> DataFrame:
-    p = V.table(spark, sf, "part").select(F.expr(_SERVED).alias("conversations"), F.when(F.col("p_size") % 2 == 0, F.encode("p_brand", "utf-8")).alias("image"))
-    errors = p.select(F.explode(D.conversation_errors(F.col("conversations"), F.col("image"))).alias("error"))
+    p = V.table(spark, sf, "part").select(F.expr(_SERVED).alias("conversations"), F.array(F.unhex(F.expr(_IMAGE))).alias("images"))
+    errors = p.select(F.explode(D.conversation_errors(F.col("conversations"), F.col("images"))).alias("error"))
     return errors.groupBy("error").agg(F.count("*").alias("n"))
 
 

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
 from pathlib import Path
 from typing import Any
 
 
 def resolve_path(value: str, name: str) -> Path:
-    """A path with ``~`` and environment variables expanded; a variable that is not set is an error."""
-    text = os.path.expanduser(os.path.expandvars(value))
-    if "$" in text:
-        raise ValueError(f"{name}: {value!r} names a variable that is not set")
-    return Path(text)
+    """A path with ``~`` and environment variables expanded; blank values and variables that are not set are errors."""
+    if not value.strip():
+        raise ValueError(f"{name} is blank")
+    named = {a or b for a, b in re.findall(r"\$(?:(\w+)|\{([^}]*)\})", value)}
+    if unset := sorted(named.difference(os.environ)):
+        raise ValueError(f"{name}: {', '.join(unset)} not set")
+    return Path(os.path.expandvars(value)).expanduser()
 
 
 def deep_merge(*layers: dict[str, Any]) -> dict[str, Any]:
@@ -42,6 +45,11 @@ def write_json(value: object, path: str | Path, exclusive: bool = True) -> None:
         Path(part).unlink(missing_ok=True)
 
 
+def write_snapshot(settings: dict[str, Any], path: str | Path) -> None:
+    """The resolved settings of a run, once; JSON is YAML, too."""
+    write_json(settings, path, exclusive=True)
+
+
 def write_once(value: dict[str, Any], path: str | Path, identity) -> bool:
     """Write unless the same identity is there already; another identity at the path is an error."""
     path = Path(path)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.storage import new_path
 
 
+BATCH = "__batch"  # column of a batch's number
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the Parquet files below ``path``; the schema is that of the files now there."""
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
@@ -27,13 +31,24 @@ def tumbling(events: DataFrame, width: str = "1 day", ts: str = "ts", late: str
 def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run the stream over what is there now and read the result; the checkpoint is in the shared folder.
 
-    In mode ``complete`` the last result replaces the ones before it.
+    Each batch has its own folder, so one that runs again after a restart replaces itself.  In
+    mode ``complete`` only the last batch counts.
     """
     spark = df.sparkSession
     out, state = new_path(spark, "stream"), new_path(spark, "stream-state")
 
+    spark.createDataFrame([], df.schema).write.parquet(f"{out}/{BATCH}=-1")  # a stream without files has a result, too
+
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/{BATCH}={number}")
 
     df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+    return read_batches(spark, out, df.schema, mode)
+
+
+def read_batches(spark: SparkSession, out: str, schema: T.StructType, mode: str = "append") -> DataFrame:
+    """The result of the batches below ``out``: all rows, or those of the last batch in mode ``complete``."""
+    found = spark.read.schema(T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])).parquet(out)
+    if mode == "complete":
+        found = found.where(F.col(BATCH) == found.agg(F.max(BATCH)).first()[0])
+    return found.drop(BATCH)

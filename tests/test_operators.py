@@ -157,6 +157,14 @@ def test_artifact_registry(spark, tmp_path):
     r.register(artifact_id="b", artifact_type="pool", version="2", path="q", parent_artifact_ids=["a"])
     r.register(artifact_id="c", artifact_type="pool", version="3", path="q", complete=False)
     assert r.resolve("pool").artifact_id == "b" and r.resolve("none") is None and r.list_artifacts().count() == 3
+    (tmp_path / "done").mkdir()
+    (tmp_path / "done" / "_SUCCESS").touch()
+    (tmp_path / "half").mkdir()
+    for name, path, status in (("d", "done", "SUCCEEDED"), ("e", "half", "SUCCEEDED"), ("f", "none", "SUCCEEDED"), ("g", "done", "FAILED")):
+        r.register(artifact_id=name, artifact_type="run", version="1", path=f"file://{tmp_path}/{path}", status=status)
+    assert [r.is_complete(name) for name in "defg"] == [True, False, False, False]
+    with pytest.raises(KeyError):
+        r.is_complete("nobody")
     assert [x.ancestor for x in r.ancestors("b").collect()] == ["a"]
 
 
@@ -167,7 +175,11 @@ def test_state_store(spark, tmp_path):
     for job, steps in {"a": ["PENDING", "RUNNING", "FAILED", "RUNNING", "SUCCEEDED"], "b": ["PENDING", "RUNNING", "REVIEW"]}.items():
         for status in steps:
             s.transition(job, status)
-    assert s.rows().count() == 8 and s.get("a") == "SUCCEEDED" and [r.job_id for r in s.resumable().collect()] == ["b"]
+    s.resume("b")
+    s.transition("b", "REVIEW", "RUNNING")
+    with pytest.raises(ValueError):
+        s.resume("a")
+    assert s.rows().count() == 10 and s.get("a") == "SUCCEEDED" and [r.job_id for r in s.resumable().collect()] == ["b"]
     for job, status, expected in (("a", "RUNNING", None), ("b", "RUNNING", "FAILED"), ("new", "RUNNING", None)):
         with pytest.raises(ValueError):
             s.transition(job, status, expected)
@@ -179,8 +191,10 @@ def test_config(tmp_path, monkeypatch):
 
     monkeypatch.setenv("HERE", str(tmp_path))
     assert resolve_path("$HERE/x", "root") == tmp_path / "x"
-    with pytest.raises(ValueError):
-        resolve_path("${NOT_SET_ANYWHERE}/x", "root")
+    assert str(resolve_path("a$/b", "root")) == "a$/b"
+    for bad in ("${NOT_SET_ANYWHERE}/x", "$NOT_SET_ANYWHERE", " "):
+        with pytest.raises(ValueError):
+            resolve_path(bad, "root")
     assert deep_merge({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}, {"d": [1]}) == {"a": {"b": 3, "c": 2}, "d": [1]}
     write_json({"a": 1}, tmp_path / "r.json")
     with pytest.raises(FileExistsError):
@@ -205,7 +219,7 @@ def test_jsonl_and_parquet_never_overwrite(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text('{"a": 1}\n\n   \n{"a": \n')
     with pytest.raises(Exception):
         io.read_jsonl(spark, str(tmp_path / "bad.jsonl"), "a long").collect()
-    assert [r.error for r in io.read_jsonl_tolerant(spark, str(tmp_path / "bad.jsonl"), "a long").collect()] == [None, "invalid_json"]
+    assert [(r.line_number, r.error) for r in io.read_jsonl_tolerant(spark, str(tmp_path / "bad.jsonl"), "a long").orderBy("line_number").collect()] == [(1, None), (4, "invalid_json")]
     assert io.missing_columns(df, ["a", "z"]) == ["z"]
 
 
@@ -222,3 +236,108 @@ def test_entry_runs(spark):
     counts = {(r.source): r["count"] for r in df.groupBy("source").count().collect()}
     assert counts == {"main": 320, "replay_vl": 60, "replay_text": 20}
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    from millrace.sources import io
+
+    lines = [f"line {k} " + "x" * (k % 50) if k % 7 else "" for k in range(1, 3001)]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.txt").write_text("only\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = {(r.file.rsplit("/", 1)[1], r.line_number): r.value for r in io.numbered_lines(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {("a.txt", k + 1): v for k, v in enumerate(lines)} | {("b.txt", 1): "only"}
+
+
+def test_bad_registry_line_is_named(spark, tmp_path):
+    from millrace.operators.stores import ArtifactRegistry
+
+    r = ArtifactRegistry(spark, str(tmp_path / "artifacts"))
+    (tmp_path / "artifacts" / "part-bad.json").write_text('{"artifact_id": "x"}\n{"artifact_id": \n')
+    with pytest.raises(ValueError, match="part-bad.json: line 2"):
+        r.latest()
+
+
+def test_ancestors_of_any_depth_and_in_cycles(spark):
+    chain = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (7, None)]
+    edges = spark.createDataFrame(chain, "child long, parent long")
+    got = {(r.id, r.ancestor): r.depth for r in lineage.ancestors(edges, spark.createDataFrame([(0,), (100,), (999,)], "id long")).collect()}
+    assert got == {(0, k): k for k in range(1, 61)} | {(100, 101): 1, (100, 100): 2}
+
+
+def test_suffix_rewrite_rejects_what_it_does_not_know(spark):
+    from millrace.operators import dialogue
+
+    def run(rows):
+        df = spark.createDataFrame(rows, "text string, applies boolean, role string, name string")
+        text, changed = dialogue.rewrite_suffix(F.col("text"), F.col("applies"), F.col("role"), F.col("name"))
+        return [tuple(r) for r in df.select(text, changed).collect()]
+
+    old, new = dialogue.OLD_SUFFIX, dialogue.NEW_SUFFIX
+    assert run([("q " + old, True, "user", "a"), ("q " + new, True, "user", "b"), ("q", False, "robot", "c")]) == [("q " + new, True), ("q " + new, False), ("q", False)]
+    for bad in ((("q", True, "user", "d")), ("q " + old, True, "assistant", "e")):
+        with pytest.raises(Exception, match=f": {bad[3]}"):
+            run([bad])
+
+
+def test_metrics_wait_for_all_predictions(spark, tmp_path):
+    from millrace.operators.stores import write_metrics
+
+    ids = lambda *k: spark.createDataFrame([(x,) for x in k], "id long")
+    metrics = spark.createDataFrame([(0.5,)], "accuracy double")
+    for wrong in ((1, 2), (1, 2, 3, 3), (1, 2, 3, 4)):
+        with pytest.raises(ValueError):
+            write_metrics(ids(1, 2, 3), ids(*wrong), "id", metrics, str(tmp_path / "m"))
+    write_metrics(ids(1, 2, 3), ids(3, 1, 2), "id", metrics, str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m")).first().accuracy == 0.5
+
+
+def test_nothing_is_written_before_it_is_executed(spark, tmp_path):
+    from millrace.sources import io
+    from millrace.sources.config import write_snapshot
+
+    df = spark.range(5)
+    assert io.write_when_executed(df, str(tmp_path / "out")) == {"rows": 5, "columns": ["id"], "path": str(tmp_path / "out"), "executed": False}
+    assert not (tmp_path / "out").exists()
+    assert io.write_when_executed(df, str(tmp_path / "out"), execute=True)["executed"] and spark.read.parquet(str(tmp_path / "out")).count() == 5
+    write_snapshot({"a": [1]}, tmp_path / "s.yaml")
+    with pytest.raises(FileExistsError):
+        write_snapshot({"a": [2]}, tmp_path / "s.yaml")
+
+
+def test_contamination_by_join_equals_that_in_rows(spark):
+    from millrace.operators.dedup import contamination
+
+    items = spark.createDataFrame([(1, "the quick brown fox"), (2, "brown fox jumps over it"), (3, "")], "item long, text string")
+    docs = spark.createDataFrame([(1, "See the QUICK, brown fox jumps over it!"), (2, "the quick brown"), (3, None), (4, "the quick brown fox the quick brown fox")], "doc long, text string")
+    for few in (10, 0):
+        assert {(r.doc, r.n_items) for r in contamination(docs, items, "doc", "item", few).collect()} == {(1, 2), (4, 1)}
+
+
+def test_cosine_ignores_length(spark):
+    from millrace.operators.vectors import top_k
+
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [10.0, 1.0]), (3, [0.0, 100.0]), (4, [0.0, 0.0])], "id long, v array<double>")
+    got = [(r.cand_id, r.similarity) for r in top_k(v, v, 3).where("query_id = 1").orderBy("rank").collect()]
+    assert got == [(2, 0.995037), (3, 0.0), (4, 0.0)]
+
+
+def test_streams_without_files_and_restarts(spark, tmp_path):
+    from millrace.streaming import events
+
+    spark.createDataFrame([], "event_id long, ts timestamp").write.parquet(str(tmp_path / "none"))
+    assert events.run_available(events.deduplicated(events.read_events(spark, str(tmp_path / "none")))).count() == 0
+    out = str(tmp_path / "out")
+    for number, rows in ((0, [(1,)]), (1, [(2,)]), (1, [(2,)])):  # the last batch ran twice
+        spark.createDataFrame(rows, "id long").write.mode("overwrite").parquet(f"{out}/{events.BATCH}={number}")
+    schema = spark.range(1).schema
+    assert sorted(r.id for r in events.read_batches(spark, out, schema).collect()) == [1, 2]
+    assert [r.id for r in events.read_batches(spark, out, schema, "complete").collect()] == [2]
+
+
+def test_images_are_whole(spark):
+    data = ["89504E470D0A1A0A0000000049454E44AE426082", "FFD8FFE0FFD9", "FFD8FFE0", "524946460400000057454250", "524946460500000057454250", "00", None]
+    assert col(spark, [bytes.fromhex(x) if x else None for x in data], T.image_whole, "binary") == [True, True, False, True, False, False, False]
