@@ -6,16 +6,18 @@ words of a text reveal an entity in it: over all distinct texts, those without e
     PMI(term, entity) = log(N * n(term, entity) / (n(term) * n(entity)))
     IC(entity)        = log(N / n(entity))
 
-and a term that stands with an entity in at least ``support`` distinct texts, at any distance, and
-carries PMI >= ``threshold`` * IC discloses it and is found at every place of the texts that hold
-the entity.  Words that are part of an entity are no terms.  Long tokens that mix letters and
-digits carry so much information by themselves that they are found as secrets.  Copies of a
-text count once, so copying alone makes no term disclosing.  Redaction generalises
-entities to their kind and removes disclosing terms.  Everything is DataFrame functions.
+and a term that stands with an entity in at least ``support`` distinct texts, at any distance,
+carries PMI >= ``threshold`` * IC and stands there by more than chance (n(term, entity) * PMI of at
+least ``evidence`` nats, a likelihood ratio) discloses it.  It is found at every place of every
+text, also where the entity itself does not stand.  Words that are part of an entity are no
+terms.  Long tokens that mix letters and digits carry so much information by themselves that
+they are found as secrets.  Copies of a text count once, so copying alone makes no term
+disclosing.  Redaction generalises entities to their kind and removes disclosing terms.
+Everything is DataFrame functions; terms travel as 64-bit hashes.
 
 Positions are code points, ends exclusive.  Defined results: a null text has no spans and
 stays null; an empty table gives an empty table; repeated rows give repeated results; ids may
-repeat or be null; other columns pass through ``sanitise``.
+repeat or be null, they are not used; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,6 +50,7 @@ KINDS = (*PATTERNS, "term")
 TERM = r"\p{L}[\p{L}\p{M}'-]{2,}"
 SPAN = "struct<kind:string,start:int,stop:int,value:string>"
 NONE = f"cast(array() as array<{SPAN}>)"
+SMALL = 1_000_000  # rows of one or two longs that are broadcast; more are shuffled
 
 
 def _located(text: str, pattern: str) -> str:
@@ -76,55 +79,61 @@ def _masked() -> str:
 
 
 def _places(terms: str) -> str:
-    """SQL for array<struct<start, stop, term>>: the places of ``terms`` in ``masked``, in order."""
+    """SQL for array<struct<start, stop, term>>: the places of ``terms`` (hashes) in ``masked``, in order."""
     q = TERM.replace("\\", "\\\\").replace("'", "\\'")
     zipped = f"filter(zip_with(split(masked, '{q}', -1), regexp_extract_all(masked, '{q}', 0), (g, m) -> struct(length(coalesce(g, '')) as g, m)), x -> x.m is not null)"
     place = "struct(a.at + x.g as start, a.at + x.g + length(x.m) as stop, lower(x.m) as term)"
-    step = f"(a, x) -> struct(a.at + x.g + length(x.m) as at, case when array_contains({terms}, lower(x.m)) then concat(a.found, array({place})) else a.found end as found)"
+    step = f"(a, x) -> struct(a.at + x.g + length(x.m) as at, case when array_contains({terms}, xxhash64(lower(x.m))) then concat(a.found, array({place})) else a.found end as found)"
     return f"aggregate({zipped}, struct(0 as at, cast(array() as array<struct<start:int,stop:int,term:string>>) as found), {step}).found"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, spans, entities (hashes), words (distinct, outside of spans, with spaces between) and masked of every text; masked is kept of texts with entities only."""
-    d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    d = d.withColumn("spans", base_spans())
-    entities = F.expr("array_distinct(transform(filter(spans, s -> s.kind <> 'secret'), s -> xxhash64(s.kind, lower(s.value))))")
-    q = TERM.replace("\\", "\\\\").replace("'", "\\'")
-    words = F.expr(f"array_join(array_distinct(transform(regexp_extract_all(masked, '{q}', 0), m -> lower(m))), ' ')")
-    d = d.select("doc_id", F.xxhash64("text").alias("text_key"), "spans", entities.alias("entities"), F.expr(_masked()).alias("masked"))
-    return d.select("doc_id", "text_key", "spans", "entities", words.alias("words"), F.when(F.size("entities") > 0, F.col("masked")).alias("masked"))
+    """row (all columns of ``docs``), text, text_key and spans by pattern of every text."""
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return d.withColumns({"text_key": F.xxhash64("text"), "spans": base_spans()})
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, a written table, as a broadcast if its rows are few."""
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def _terms() -> Column:
-    return F.explode(F.split("words", " ")).alias("term")
+def distinct_words(docs: DataFrame) -> DataFrame:
+    """text_key, entities and words (hashes; distinct, outside of spans) of each distinct text."""
+    entities = F.expr("array_distinct(transform(filter(spans, s -> s.kind <> 'secret'), s -> xxhash64(s.kind, lower(s.value))))")
+    q = TERM.replace("\\", "\\\\").replace("'", "\\'")
+    words = F.expr(f"array_distinct(transform(regexp_extract_all(masked, '{q}', 0), m -> xxhash64(lower(m))))")
+    d = scan(docs.select("text")).select("text_key", entities.alias("entities"), F.expr(_masked()).alias("masked"))
+    return d.select("text_key", "entities", words.alias("words")).dropDuplicates(["text_key"])
 
 
-def disclosing(scanned: DataFrame, threshold: float = 0.9, support: int = 3) -> DataFrame:
-    """(entity, term) pairs that exceed the threshold, from counts over distinct texts.
+def disclosing(seen: DataFrame, threshold: float = 0.9, support: int = 3, evidence: float = 12.0) -> DataFrame:
+    """(entity, term) pairs that exceed the threshold, from counts over :func:`distinct_words`.
 
-    Only entities of at least ``support`` texts meet the words of these texts.
+    Only entities of at least ``support`` texts meet the words of these texts, and only terms
+    that stand with one of them that often are counted in all texts.
     """
-    seen = materialise(scanned.select("text_key", "entities", "words").dropDuplicates(["text_key"]), "texts")
     holds = seen.where("size(entities) > 0").select("words", F.explode("entities").alias("entity"))
     per_entity = materialise(holds.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support), "entities")
-    pairs = holds.join(per_entity.select("entity"), "entity", "left_semi").select("entity", _terms()).where("term <> ''").groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    per_term = seen.select(_terms()).where("term <> ''").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = seen.agg(F.count("*").alias("n"))
-    joined = pairs.where(F.col("n_te") >= support).join(per_entity, "entity").join(per_term, "term").join(F.broadcast(total))  # one row
-    pmi = F.log(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    return joined.where((F.col("n") > F.col("n_e")) & (pmi >= threshold * F.log(F.col("n") / F.col("n_e")))).select("entity", "term")
-
-
-def all_spans(scanned: DataFrame, threshold: float = 0.9, support: int = 3) -> DataFrame:
-    """doc_id, text_key, spans: those by pattern and the disclosing terms."""
-    found = materialise(disclosing(scanned, threshold, support), "disclosing")
-    near = scanned.where("size(entities) > 0").select("doc_id", "text_key", "words", F.explode("entities").alias("entity")).join(found.select("entity").distinct(), "entity", "left_semi")
-    near = near.select("doc_id", "text_key", "entity", _terms()).join(found, ["entity", "term"])
-    terms = near.groupBy("doc_id", "text_key").agg(F.collect_set("term").alias("terms"))
-    terms = materialise(terms.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "terms"), "terms")
-    both = scanned.select("doc_id", "text_key", "spans", "masked").join(terms, F.expr("doc_id <=> _id and text_key = _key"), "left")
+    pairs = holds.join(_small(per_entity), "entity").select("entity", "n_e", F.explode("words").alias("term"))
+    pairs = materialise(pairs.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support), "pairs")
+    terms = materialise(pairs.select("term").distinct(), "terms")
+    per_term = seen.select(F.explode("words").alias("term")).join(_small(terms), "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    total = seen.count()
+    joined = pairs.join(per_term, "term").withColumn("pmi", F.log(total * F.col("n_te") / (F.col("n_t") * F.col("n_e"))))
+    shown = (F.col("n_e") < total) & (F.col("pmi") >= threshold * F.log(total / F.col("n_e"))) & (F.col("n_te") * F.col("pmi") >= evidence)
+    return joined.where(shown).select("entity", "term")
+
+
+def all_spans(docs: DataFrame, threshold: float = 0.9, support: int = 3, evidence: float = 12.0) -> DataFrame:
+    """row (all columns of ``docs``), text and spans: those by pattern and the disclosing terms."""
+    seen = materialise(distinct_words(docs), "words")
+    terms = materialise(disclosing(seen, threshold, support, evidence).select("term").distinct(), "disclosing")
+    hits = seen.select("text_key", F.explode("words").alias("term")).join(_small(terms), "term")
+    hits = materialise(hits.groupBy("text_key").agg(F.collect_set("term").alias("terms")), "hits")
+    both = scan(docs).join(hits, "text_key", "left").withColumn("masked", F.when(F.col("terms").isNotNull(), F.expr(_masked())))
     more = F.expr(f"case when terms is null then {NONE} else cast(transform({_places('terms')}, t -> named_struct('kind', 'term', 'start', t.start, 'stop', t.stop, 'value', t.term)) as array<{SPAN}>) end")
-    return both.select("doc_id", "text_key", F.concat("spans", more).alias("spans"))
+    return both.select("row", "text", F.concat("spans", more).alias("spans"))
 
 
 def joined_spans(spans: str, kinds: tuple[str, ...] = KINDS) -> Column:
@@ -138,16 +147,11 @@ def redacted(spans: str = "spans") -> Column:
     step = f"(a, s) -> case when s.start >= a.at then struct(s.stop as at, concat(a.done, array(substring(text, a.at + 1, s.start - a.at), {mark})) as done) else struct(greatest(a.at, s.stop) as at, a.done as done) end"
     ordered = f"array_sort({spans}, (x, y) -> case when x.start < y.start then -1 when x.start > y.start then 1 when x.stop > y.stop then -1 when x.stop < y.stop then 1 else 0 end)"
     walk = f"aggregate({ordered}, struct(0 as at, cast(array() as array<string>) as done), {step}, a -> concat(array_join(a.done, ''), substring(text, a.at + 1)))"
-    return F.expr(f"case when {spans} is null or size({spans}) = 0 then text else {walk} end")
+    return F.expr(walk)
 
 
-def sanitise(docs: DataFrame, threshold: float = 0.9, support: int = 3) -> DataFrame:
-    """``docs`` with the personal data of ``text`` generalised or removed; all columns are kept.
-
-    Texts meet their spans in one join; documents without spans need no partner there.
-    """
-    scanned = materialise(scan(docs), "pii")
-    found = all_spans(scanned, threshold, support).where("size(spans) > 0").groupBy("doc_id", "text_key").agg(F.first("spans").alias("spans"))
-    found = found.select(F.col("doc_id").alias("_pii_id"), F.col("text_key").alias("_pii_key"), F.col("spans").alias("_pii_spans"))
-    both = docs.join(found, F.expr("doc_id <=> _pii_id and xxhash64(coalesce(text, '')) = _pii_key"), "left")
-    return both.select(*[redacted("_pii_spans").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+def sanitise(docs: DataFrame, threshold: float = 0.9, support: int = 3, evidence: float = 12.0) -> DataFrame:
+    """``docs`` with the personal data of ``text`` generalised or removed; all columns are kept."""
+    found = all_spans(docs, threshold, support, evidence)
+    clean = F.when(F.size("spans") > 0, redacted()).otherwise(F.col("row")["text"])
+    return found.select(*[(clean if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])

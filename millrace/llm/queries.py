@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.storage import materialise
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -92,12 +90,12 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.llm.pii import KINDS, all_spans, joined_spans, scan
+    from millrace.llm.pii import KINDS, all_spans, joined_spans
 
-    scanned = materialise(scan(table(spark, sf_dir, "documents")), "pii")
+    found = all_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = KINDS[:4]
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in base]
-    return all_spans(scanned).select("doc_id", *counts, F.sha2(joined_spans("spans", base), 256).alias("base_sha256"), joined_spans("spans").alias("spans"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), *counts, F.sha2(joined_spans("spans", base), 256).alias("base_sha256"), joined_spans("spans").alias("spans"))
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
