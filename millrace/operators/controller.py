@@ -65,3 +65,15 @@ def gain_gate(history: DataFrame, key: str, order: str, gain: str, least: float,
     d = history.withColumn("_run", F.sum((~low).cast("int")).over(w))
     streak = F.sum(low.cast("int")).over(Window.partitionBy(key, "_run").orderBy(order))
     return d.withColumn("streak", streak.cast("long")).withColumn("state", F.when(F.col("streak") >= patience, "PAUSED").otherwise("ACTIVE")).drop("_run")
+
+
+def within_k_sigma(df: DataFrame, value: str, k: float, by: list[str] | None = None) -> DataFrame:
+    """``df`` with low, high (mean and population deviation of ``value`` times ``k``, within groups) and ``kept``: whether a row lies between them.
+
+    The bounds are one aggregation; a group of any size meets them in a join.
+    """
+    keys = by or []
+    stats = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    stats = stats.select(*keys, F.round(F.col("_mean") - k * F.col("_sd"), 6).alias("low"), F.round(F.col("_mean") + k * F.col("_sd"), 6).alias("high"))
+    joined = df.join(stats, keys) if keys else df.join(F.broadcast(stats))  # one row
+    return joined.withColumn("kept", F.col(value).between(F.col("low"), F.col("high")))

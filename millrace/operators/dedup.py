@@ -34,7 +34,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str, item: str, fe
     run = lambda words, at: F.xxhash64(F.slice(words, at, F.lit(least)))
     keyed = items.select("item", F.col("words").alias("wanted"), run("words", F.lit(1)).alias("key"))
     d = docs.select(F.col(doc), tokens("text").alias("words")).where(f"size(words) >= {least}")
-    place = F.sequence(F.lit(1), F.size("words") - least + 1)
+    place = F.when(F.size("words") >= least, F.sequence(F.lit(1), F.size("words") - least + 1))
     if facts.n <= few:
         known = keyed.select(F.get("wanted", F.lit(0)).alias("first"), "key").distinct().collect()  # at most `few` rows
         firsts, keys = sorted({r.first for r in known}), sorted({r.key for r in known})
@@ -48,6 +48,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str, item: str, fe
     return whole.groupBy(doc).agg(F.count_distinct("item").alias("n_items"))
 
 
+def ngram_overlap(docs: DataFrame, benchmark: DataFrame, doc: str, item: str, n: int = 5, least: float = 0.5, few: int = 100_000) -> DataFrame:
+    """(doc, item, share): items of which a document holds at least a share ``least`` of the different runs of ``n`` words.
+
+    Up to ``few`` runs of items are looked up within the row of a text, so only hits leave it; more meet in a join.
+    """
+    runs = lambda words: F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(n))))
+    grams = lambda words: F.when(F.size(words) >= n, F.array_distinct(runs(words)))
+    items = benchmark.select(F.col(item), tokens("text").alias("words")).where(f"size(words) >= {n}").select(item, grams("words").alias("own"))
+    keyed = materialise(items.select(item, F.size("own").alias("n_own"), F.explode("own").alias("gram")), "item-grams")
+    d = docs.select(F.col(doc), tokens("text").alias("words")).where(f"size(words) >= {n}").select(doc, grams("words").alias("have"))
+    if keyed.count() <= few:
+        wanted = sorted({r.gram for r in keyed.select("gram").collect()})  # at most `few` rows
+        d = d.withColumn("have", F.filter("have", lambda g: g.isin(wanted)) if wanted else F.array().cast("array<bigint>")).where("size(have) > 0")
+        keyed = F.broadcast(keyed)
+    shared = d.select(doc, F.explode("have").alias("gram")).join(keyed, "gram").groupBy(doc, item).agg(F.count("*").alias("n"), F.max("n_own").alias("n_own"))
+    return shared.where(F.col("n") >= least * F.col("n_own")).select(doc, item, F.round(F.col("n") / F.col("n_own"), 6).alias("share"))
+
+
 def ngram_links(texts: DataFrame, n: int, threshold: float) -> DataFrame:
     """Pairs (a, b) of different ``texts`` (node, text) whose sets of character n-grams reach a Jaccard similarity.
 

@@ -35,6 +35,26 @@ def leakage(df: DataFrame, group: str, split: str = "split") -> DataFrame:
     return df.groupBy(group).agg(F.array_join(F.array_sort(F.collect_set(split)), ",").alias("splits"), F.count_distinct(split).alias("n_splits")).where("n_splits > 1")
 
 
+#: Levels of acceptance in their order.
+LEVELS = ("G0", "G1", "G2", "G3", "G4", "G5", "G6", "G7")
+
+
+def release(checks: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """What the checks (level, status) allow: ``status``, the first level that fails, and a decision.
+
+    Any failure blocks, a level without checks or in review allows an experiment only, and eight
+    passing levels allow to publish.
+    """
+    out = checks.groupBy(*(by or [])).agg(
+        worst().alias("worst"),
+        F.count_distinct(F.when(F.col("level").isin(*LEVELS), F.col("level"))).alias("n_levels"),
+        F.min(F.when(F.col("status") == "FAIL", F.col("level"))).alias("blocked_by"),
+    )
+    status = F.when((F.col("worst") == "PASS") & (F.col("n_levels") < len(LEVELS)), "REVIEW").otherwise(F.col("worst"))
+    decision = F.when(F.col("status") == "FAIL", "blocked").when(F.col("status") == "REVIEW", "experiment").otherwise("publish")
+    return out.withColumn("status", status).withColumn("decision", decision).drop("worst")
+
+
 def require_empty(df: DataFrame, message: str) -> None:
     """Raise if a gate found any row."""
     if rows := df.limit(5).collect():

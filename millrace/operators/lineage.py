@@ -72,6 +72,20 @@ def ancestors(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return found
 
 
+#: Fields that an artifact's manifest must fill, and the states it may have.
+REQUIRED = ("artifact_id", "logical_name", "artifact_type", "uri", "dataset_version", "schema_version", "schema_hash", "content_hash", "producer_job_id", "config_hash", "code_commit", "environment_hash", "created_at")
+COUNTS = ("row_count", "token_count", "byte_count")
+STATES = ("PENDING", "RUNNING", "SUCCEEDED", "FAILED", "REVIEW")
+
+
+def manifest_errors() -> Column:
+    """All errors of a manifest row: fields that are null or empty, negative counts, an unknown state."""
+    blank = [F.when(F.coalesce(F.col(c), F.lit("")) == "", f"empty:{c}") for c in REQUIRED]
+    below = [F.when(F.col(c) < 0, f"negative:{c}") for c in COUNTS]
+    state = F.when(~F.coalesce(F.col("status").isin(*STATES), F.lit(False)), "unsupported_status")
+    return F.array_compact(F.array(*blank, *below, state))
+
+
 def with_files(artifacts: DataFrame, uri: str = "uri") -> DataFrame:
     """``artifacts`` with ``on_disk``: its path exists, and if it is a folder, with a ``_SUCCESS`` marker.
 

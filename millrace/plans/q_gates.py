@@ -94,6 +94,35 @@ def gate_contamination(spark: SparkSession, sf: str) -> DataFrame:
     return DD.contamination(V.table(spark, sf, "documents"), V.table(spark, sf, "benchmark"), "doc_id", "item_id")
 
 
+@register(
+    "gate_contamination_ngram",
+    r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+    i AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS g FROM b), n AS (SELECT item_id, count(*) AS own FROM i GROUP BY item_id),
+    h AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS g FROM d)
+    SELECT doc_id, item_id, round(count(*)::DOUBLE / any_value(own), 6) AS share FROM h JOIN i USING (g) JOIN n USING (item_id) GROUP BY ALL HAVING count(*) >= 0.5 * any_value(own)""",
+)
+def gate_contamination_ngram(spark: SparkSession, sf: str) -> DataFrame:
+    return DD.ngram_overlap(V.table(spark, sf, "documents"), V.table(spark, sf, "benchmark"), "doc_id", "item_id", 5, 0.5)
+
+
+@register(
+    "gate_levels",
+    """WITH c AS (SELECT * FROM (SELECT source, unnest(['G0', 'G1', 'G2', 'G3', 'G4', 'G5', 'G6', 'G7']) AS level, unnest([CASE WHEN count(*) > 0 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN count(*) FILTER (text IS NULL OR text = '') = 0 THEN 'PASS' ELSE 'FAIL' END,
+        CASE WHEN count(*) = count(DISTINCT text) THEN 'PASS' ELSE 'REVIEW' END, CASE WHEN count(DISTINCT lang) >= 2 THEN 'PASS' ELSE 'REVIEW' END, CASE WHEN max(n_chars) <= 50 * avg(n_chars) THEN 'PASS' ELSE 'FAIL' END, 'PASS', 'PASS', CASE WHEN source = 'src3' THEN NULL ELSE 'PASS' END]) AS status FROM documents GROUP BY source) WHERE status IS NOT NULL),
+    a AS (SELECT source, CASE max(CASE status WHEN 'FAIL' THEN 3 WHEN 'REVIEW' THEN 2 ELSE 1 END) WHEN 3 THEN 'FAIL' WHEN 2 THEN 'REVIEW' ELSE CASE WHEN count(DISTINCT level) < 8 THEN 'REVIEW' ELSE 'PASS' END END AS status, count(DISTINCT level)::BIGINT AS n_levels, min(CASE WHEN status = 'FAIL' THEN level END) AS blocked_by FROM c GROUP BY source)
+    SELECT source, n_levels, blocked_by, status, CASE status WHEN 'FAIL' THEN 'blocked' WHEN 'REVIEW' THEN 'experiment' ELSE 'publish' END AS decision FROM a""",
+)
+def gate_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each source may be published, from a check for each level; one source lacks its last level."""
+    facts = V.table(spark, sf, "documents").groupBy("source").agg(
+        F.count("*").alias("n"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("blank"), F.count_distinct("text").alias("texts"), F.count_distinct("lang").alias("langs"), F.max("n_chars").alias("most"), F.avg("n_chars").alias("mean")
+    )
+    ok = lambda c, other="FAIL": F.when(c, "PASS").otherwise(other)
+    status = [ok(F.col("n") > 0), ok(F.col("blank") == 0), ok(F.col("n") == F.col("texts"), "REVIEW"), ok(F.col("langs") >= 2, "REVIEW"), ok(F.col("most") <= 50 * F.col("mean")), F.lit("PASS"), F.lit("PASS"), F.when(F.col("source") != "src3", "PASS")]
+    checks = F.array(*[F.struct(F.lit(level).alias("level"), s.alias("status")) for level, s in zip(G.LEVELS, status, strict=True)])
+    return G.release(facts.select("source", F.inline(checks)).where("status is not null"), ["source"])
+
+
 @register("join_lookup", "SELECT o_orderkey, c_name, length(c_name)::BIGINT AS name_length FROM orders JOIN customer ON o_custkey = c_custkey")
 def join_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Strict many-to-one lookup: a key without a partner would be an error, so the join may be inner."""

@@ -160,6 +160,22 @@ def lin_is_complete(spark: SparkSession, sf: str) -> DataFrame:
     return L.is_complete(registry).select("n_nationkey", "is_complete")
 
 
+@register(
+    "lin_manifest_errors",
+    """SELECT error, count(*)::BIGINT AS n FROM (SELECT unnest(list_filter([CASE WHEN p_size % 7 = 0 THEN 'empty:uri' END, CASE WHEN p_size % 5 = 0 THEN 'empty:code_commit' END, CASE WHEN p_partkey % 11 = 0 THEN 'negative:row_count' END, CASE WHEN p_partkey % 13 < 2 THEN 'unsupported_status' END], lambda x: x IS NOT NULL)) AS error FROM part) GROUP BY error""",
+)
+def lin_manifest_errors(spark: SparkSession, sf: str) -> DataFrame:
+    planted = {"uri": F.when(F.col("p_size") % 7 != 0, F.col("p_name")), "code_commit": F.when(F.col("p_size") % 5 == 0, "").otherwise("c0ffee")}
+    p = V.table(spark, sf, "part").select(
+        *[planted.get(c, F.lit("x")).alias(c) for c in L.REQUIRED],
+        F.when(F.col("p_partkey") % 11 == 0, -1).otherwise(5).alias("row_count"),
+        F.lit(0).alias("token_count"),
+        F.lit(None).cast("long").alias("byte_count"),
+        F.when(F.col("p_partkey") % 13 == 0, "LOST").when(F.col("p_partkey") % 13 != 1, "SUCCEEDED").alias("status"),
+    )
+    return p.select(F.explode(L.manifest_errors()).alias("error")).groupBy("error").agg(F.count("*").alias("n"))
+
+
 @register("lin_ancestors", "WITH RECURSIVE up(id, ancestor, depth) AS (SELECT p_partkey, p_partkey // 3, 1 FROM part WHERE p_partkey > 0 UNION ALL SELECT id, ancestor // 3, depth + 1 FROM up WHERE ancestor > 0) SELECT id, ancestor, min(depth)::BIGINT AS depth FROM up GROUP BY ALL")
 def lin_ancestors(spark: SparkSession, sf: str) -> DataFrame:
     p = V.table(spark, sf, "part").where("p_partkey > 0")
@@ -191,16 +207,24 @@ def _jobs(spark: SparkSession, sf: str) -> DataFrame:
     return V.table(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.row_number().over(w).cast("long").alias("seq"), "ts", F.expr(_STATE).alias("status"))
 
 
-@register(
-    "st_transitions",
-    f"""WITH {_JOBS}, l AS (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY seq) AS old_status FROM j)
+_TRANSITIONS = f"""WITH {_JOBS}, l AS (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY seq) AS old_status FROM j)
     SELECT job_id, seq, status, old_status, CASE WHEN old_status IS NULL THEN status = 'PENDING' ELSE (old_status || '>' || status) IN ({_PAIRS}) END AS legal,
-    count(*) FILTER (status = 'RUNNING' AND old_status IN ('FAILED', 'STALE', 'REVIEW')) OVER (PARTITION BY job_id ORDER BY seq)::BIGINT AS attempt FROM l""",
-)
+    count(*) FILTER (status = 'RUNNING' AND old_status IN ('FAILED', 'STALE', 'REVIEW')) OVER (PARTITION BY job_id ORDER BY seq)::BIGINT AS attempt FROM l"""
+
+
+@register("st_transitions", _TRANSITIONS)
 def st_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return J.checked_transitions(_jobs(spark, sf)).drop("ts")
 
 
+@register("st_transitions_stream", _TRANSITIONS)
+def st_transitions_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same steps as a stream with a state for each job."""
+    path = new_path(spark, "steps")
+    _jobs(spark, sf).select("job_id", "seq", "status").write.parquet(path)
+    return E.run_available(E.checked_transitions(E.read_events(spark, path)))
+
+
 @register("st_current_state", f"WITH {_JOBS} SELECT job_id, arg_max(status, seq) AS status, count(*)::BIGINT AS n_events FROM j GROUP BY job_id")
 def st_current_state(spark: SparkSession, sf: str) -> DataFrame:
     return J.current_state(_jobs(spark, sf))
@@ -375,3 +399,13 @@ def ctl_priority(spark: SparkSession, sf: str) -> DataFrame:
 def ctl_stage(spark: SparkSession, sf: str) -> DataFrame:
     decision = F.when(F.col("n") == 0, "stop").when(F.col("acc") >= 0.9, "advance").when(F.col("acc") < 0.7, "rollback").otherwise("stay")
     return _buckets(spark, sf).select("bucket", decision.alias("decision"))
+
+
+@register(
+    "ctl_k_sigma",
+    """WITH s AS (SELECT lang, round(avg(n_chars) - 2 * stddev_pop(n_chars), 6) AS low, round(avg(n_chars) + 2 * stddev_pop(n_chars), 6) AS high FROM documents GROUP BY lang)
+    SELECT lang, count(*)::BIGINT AS n, count(*) FILTER (n_chars BETWEEN low AND high)::BIGINT AS n_kept FROM documents JOIN s USING (lang) GROUP BY lang""",
+)
+def ctl_k_sigma(spark: SparkSession, sf: str) -> DataFrame:
+    d = C.within_k_sigma(V.table(spark, sf, "documents").select("lang", "n_chars"), "n_chars", 2.0, ["lang"])
+    return d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept"))

@@ -31,8 +31,20 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
-    Unlike a local checkpoint the files outlive the executors that wrote them.
+    Unlike a local checkpoint the files outlive the executors that wrote them.  :func:`drop`
+    removes them when nothing reads the table any more.
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove the files of tables that :func:`materialise` gave; what was written from them stays."""
+    for df in tables:
+        spark, path = df.sparkSession, df.__dict__.pop("_written_at", None)
+        if path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

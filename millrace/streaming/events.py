@@ -2,19 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from millrace.operators import jobs
 from millrace.storage import new_path
 
 
 BATCH = "__batch"  # column of a batch's number
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of the Parquet files below ``path``; the schema is that of the files now there."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+def read_events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of the Parquet files below ``path``, oldest first; the schema is that of the files now there."""
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (source.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else source).parquet(path)
+
+
+STEP = "job_id long, seq long, status string, old_status string, legal boolean, attempt long"
+
+
+def checked_transitions(events: DataFrame) -> DataFrame:
+    """The steps of jobs (job_id, seq, status) as they arrive, each with the status before it, whether it is legal, and the attempt.
+
+    The state of a job is its last status and its number of attempts; rows of one batch are taken
+    in order of seq, and batches have to arrive in that order.
+    """
+    allowed, resumable = {k: set(v) for k, v in jobs.ALLOWED.items()}, set(jobs.RESUMABLE)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old, attempt = state.get if state.exists else (None, 0)
+        rows = pd.concat(batches).sort_values("seq", kind="stable")
+        out = []
+        for seq, status in zip(rows["seq"].tolist(), rows["status"].tolist(), strict=True):
+            legal = status == "PENDING" if old is None else status in allowed[old]
+            attempt += status == "RUNNING" and old in resumable
+            out.append((key[0], seq, status, old, legal, attempt))
+            old = status
+        state.update((old, attempt))
+        yield pd.DataFrame(out, columns=["job_id", "seq", "status", "old_status", "legal", "attempt"])
+
+    steps = events.select("job_id", "seq", "status").groupBy("job_id")
+    return steps.applyInPandasWithState(step, STEP, "status string, attempt long", "append", GroupStateTimeout.NoTimeout)
 
 
 def deduplicated(events: DataFrame, key: str = "event_id", ts: str = "ts", late: str = "1 day") -> DataFrame:

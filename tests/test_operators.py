@@ -317,6 +317,15 @@ def test_contamination_by_join_equals_that_in_rows(spark):
         assert {(r.doc, r.n_items) for r in contamination(docs, items, "doc", "item", few).collect()} == {(1, 2), (4, 1)}
 
 
+def test_ngram_overlap_by_join_equals_that_in_rows(spark):
+    from millrace.operators.dedup import ngram_overlap
+
+    items = spark.createDataFrame([(1, "one two three four five six seven"), (2, "too short")], "item long, text string")
+    docs = spark.createDataFrame([(1, "ONE two three, four five six!"), (2, "one two three four five"), (3, None), (4, "six seven one two three four five six seven")], "doc long, text string")
+    for few in (100, 0):
+        assert {(r.doc, r.item, r.share) for r in ngram_overlap(docs, items, "doc", "item", 5, 0.5, few).collect()} == {(1, 1, 0.666667), (4, 1, 1.0)}
+
+
 def test_cosine_ignores_length(spark):
     from millrace.operators.vectors import top_k
 
@@ -341,3 +350,21 @@ def test_streams_without_files_and_restarts(spark, tmp_path):
 def test_images_are_whole(spark):
     data = ["89504E470D0A1A0A0000000049454E44AE426082", "FFD8FFE0FFD9", "FFD8FFE0", "524946460400000057454250", "524946460500000057454250", "00", None]
     assert col(spark, [bytes.fromhex(x) if x else None for x in data], T.image_whole, "binary") == [True, True, False, True, False, False, False]
+
+
+def test_job_state_carries_over_batches(spark, tmp_path):
+    import os
+
+    from millrace.streaming import events
+
+    steps = ["PENDING", "RUNNING", "FAILED", "RUNNING", "SUCCEEDED", "PENDING"]
+    seen: set = set()
+    for k, status in enumerate(steps):
+        spark.createDataFrame([(1, k, status), (2, k, "PENDING")], "job_id long, seq long, status string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for f in set((tmp_path / "in").glob("part-*")) - seen:  # the order of files is that of their times
+            os.utime(f, (1_000_000 + 10 * k, 1_000_000 + 10 * k))
+            seen.add(f)
+    got = events.run_available(events.checked_transitions(events.read_events(spark, str(tmp_path / "in"), files_per_batch=1)))
+    one = [(r.old_status, r.legal, r.attempt) for r in got.where("job_id = 1").orderBy("seq").collect()]
+    assert one == [(None, True, 0), ("PENDING", True, 0), ("RUNNING", True, 0), ("FAILED", True, 1), ("RUNNING", True, 1), ("SUCCEEDED", False, 1)]
+    assert [r.legal for r in got.where("job_id = 2").orderBy("seq").collect()] == [True] + [False] * 5
