@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.graph import components
-from millrace.storage import materialise
+from millrace.storage import drop, materialise
 
 WORDS, MEMO_WORDS, CHUNK, BATCH, BLOCK, BLOCK_BYTES = 5, 400_000, 256, 128, 256, 1 << 24
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -413,6 +413,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, ro
     while True:
         tried = materialise(agreeing(pairs.distinct(), sigs, least), "candidates")
         found = materialise(verified(tried, nodes, weights, threshold), "links")
+        drop(tried)
         links = found if links is None else links.unionByName(found)
         comps = components(links)
         named = materialise(members.select("bucket", "band", "node", "size").join(comps, "node", "left").select("bucket", "band", "node", "size", F.coalesce("comp", "node").alias("comp")), "named")
@@ -427,6 +428,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, ro
         pairs = around.where("comp <> major").select("bucket", F.col("node").alias("a")).join(centers, "bucket").select("a", "b")
     more = materialise(between_components(named, mixed, sigs, nodes, weights, threshold, least), "links")
     links = links.unionByName(more)
+    drop(shared, members, named, mixed, sigs)
     comps = components(links)
 
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
