@@ -1,7 +1,9 @@
 """Chat formatting: schema fingerprints choose the mapping that turns a layout into canonical turns.
 
 A layout is a set of nested field paths.  For a DataFrame the paths come from its schema, for
-JSON records from the variant schema of each row; their hash selects a declarative mapping.
+JSON records from the variant schema of each row.  The hash of all paths of a record is its
+fingerprint; each different fingerprint is resolved once, to the mapping with most of its paths
+among the record's, and then selects the mapping of all records that have it.
 Canonical turns are ``array<struct<turn, role, text>>``.  They are rendered with a template
 that marks turns, and control strings inside texts are escaped reversibly.  The loss mask is a
 list of spans of the formatted string.  Everything is DataFrame functions.
@@ -13,7 +15,7 @@ formatted text starts one of these codes, so undoing them in the other order is
 Defined results: a null text or role is empty; turns are ordered by (turn, role, text), null
 turns first; repeated rows are repeated turns; null ids form one conversation; records of an
 unknown layout have null turns, a null fingerprint means text that is no JSON; an empty table
-gives an empty table; columns that no mapping names are ignored.
+gives an empty table; columns and fields that no mapping names are ignored.
 """
 
 from __future__ import annotations
@@ -72,9 +74,9 @@ def field_paths(kind: T.DataType, prefix: str = "") -> list[str]:
 
 
 def layout_of(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> Layout:
-    """The layout with most paths whose fingerprint the schema's own share of its paths has."""
+    """The layout with most paths that has all its paths in the schema."""
     have = set(field_paths(df.schema))
-    fitting = [x for x in layouts if fingerprint([p for p in x.paths if p in have]) == x.fingerprint]
+    fitting = [x for x in layouts if have.issuperset(x.paths)]
     if not fitting:
         raise ValueError(f"no mapping for the fields {sorted(have)}")
     return max(fitting, key=lambda x: len(x.paths))
@@ -102,38 +104,59 @@ def canonical_turns(df: DataFrame, key: str = "conv_id", layouts: tuple[Layout,
     return df.groupBy(key).agg(F.lit(layout.name).alias("layout"), F.sort_array(F.collect_list(row)).alias("turns"))
 
 
-def record_fingerprint(record: Column) -> Column:
-    """Hash of the nested field paths of a JSON record; scalar types do not count."""
+def record_paths(record: Column) -> Column:
+    """Sorted nested field paths of a JSON record, null for text that is no JSON.
+
+    They are read off its variant schema: a walk over names and brackets with a stack of prefixes.
+    """
     kind = F.schema_of_variant(F.try_parse_json(record))
-    return F.sha2(F.regexp_replace(kind, r"\b(STRING|VOID|BIGINT|BOOLEAN|DOUBLE|FLOAT|DECIMAL\(\d+,\s?\d+\))\b\)?", "_"), 256)
+    tokens = F.regexp_extract_all(kind, F.lit(r"`(?:[^`]|``)*`: |[^\s<>,:`]+: |ARRAY<|OBJECT<|>"), F.lit(0))
+    state = "struct<stack:array<string>,at:string,paths:array<string>>"
+    start = F.struct(F.array(F.lit("")).alias("stack"), F.lit("").alias("at"), F.array().cast("array<string>").alias("paths")).cast(state)
+
+    def step(s: Column, t: Column) -> Column:
+        top = F.element_at(s["stack"], -1)
+        name = F.replace(F.trim(F.substring(t, F.lit(1), F.length(t) - 2), F.lit("`")), F.lit("``"), F.lit("`"))
+        path = F.concat(F.when(top == "", "").otherwise(F.concat(top, F.lit("."))), name)
+        move = lambda stack, at, paths: F.struct(stack.alias("stack"), at.alias("at"), paths.alias("paths")).cast(state)
+        deeper = F.concat(s["stack"], F.array(s["at"]))
+        return (
+            F.when(t == "OBJECT<", move(deeper, s["at"], s["paths"]))
+            .when(t == "ARRAY<", move(deeper, F.concat(s["at"], F.lit("[]")), s["paths"]))
+            .when(t == ">", move(F.slice(s["stack"], F.lit(1), F.size(s["stack"]) - 1), s["at"], s["paths"]))
+            .otherwise(move(s["stack"], path, F.concat(s["paths"], F.array(path))))
+        )
+
+    return F.array_sort(F.aggregate(tokens, start, step)["paths"])
 
 
-def _json_shape(layout: Layout) -> str:
-    """What record_fingerprint hashes for a record of the layout."""
-    if layout.messages:
-        items, role, text = layout.messages
-        return f"OBJECT<{items}: ARRAY<OBJECT<" + ", ".join(f"{k}: _" for k in sorted((role, text))) + ">>>"
-    return "OBJECT<" + ", ".join(f"{k}: _" for k in sorted(layout.paths)) + ">"
+def record_fingerprint(record: Column) -> Column:
+    """Hash of the nested field paths of a JSON record; types of values do not count."""
+    return F.sha2(F.array_join(record_paths(record), "\n"), 256)
 
 
 def canonical_records(df: DataFrame, key: str = "conv_id", record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(key, fingerprint, layout, turns) of JSON records whose layouts differ from row to row."""
-    out = df.select(key, F.col(record).alias("record"), record_fingerprint(F.col(record)).alias("fingerprint"))
-    name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for layout in layouts:
-        if layout.by_row:
-            continue
-        tops = [p for p in layout.paths if "[]" not in p]
+    known = sorted((x for x in layouts if not x.by_row), key=lambda x: -len(x.paths))
+    d = df.select(F.col(key).alias("key"), F.col(record).cast("string").alias("record")).withColumn("paths", record_paths(F.col("record")))
+    d = d.withColumn("fingerprint", F.sha2(F.array_join("paths", "\n"), 256))
+    # each different shape is resolved once
+    name = F.lit(None).cast("string")
+    for layout in reversed(known):
+        name = F.when(F.size(F.array_except(F.array(*map(F.lit, layout.paths)), F.col("paths"))) == 0, layout.name).otherwise(name)
+    shapes = d.where("fingerprint is not null").groupBy("fingerprint").agg(F.any_value("paths").alias("paths")).select("fingerprint", name.alias("layout"))
+    out = d.select("key", "record", "fingerprint").join(shapes, "fingerprint", "left")
+    turns = F.lit(None).cast(TURNS)
+    for layout in known:
+        hit = F.col("layout") == layout.name
         if layout.messages:
             items, role, text = layout.messages
             fields = {items: F.from_json(F.get_json_object("record", f"$.{items}"), f"array<struct<`{role}`:string,`{text}`:string>>")}
         else:
-            fields = {p: F.get_json_object("record", f"$.{p}") for p in tops}
-        hit = F.col("fingerprint") == hashlib.sha256(_json_shape(layout).encode()).hexdigest()
+            fields = {p: F.get_json_object("record", f"$.{p}") for p in layout.paths}
         out = out.withColumns({f"_{layout.name}_{p}": F.when(hit, c) for p, c in fields.items()})
-        value = _mapped_from(layout, {p: f"_{layout.name}_{p}" for p in fields})
-        name, turns = F.when(hit, layout.name).otherwise(name), F.when(hit, value.cast(TURNS)).otherwise(turns)
-    return out.select(key, "fingerprint", name.alias("layout"), turns.alias("turns"))
+        turns = F.when(hit, _mapped_from(layout, {p: f"_{layout.name}_{p}" for p in fields}).cast(TURNS)).otherwise(turns)
+    return out.select(F.col("key").alias(key), "fingerprint", "layout", turns.alias("turns"))
 
 
 def _mapped_from(layout: Layout, names: dict[str, str]) -> Column:

@@ -4,18 +4,22 @@ A small network is fitted by minimising the non-negative unbiased risk
 
     prior * E_p[l(z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)])
 
-over trusted positives and unlabelled texts, with the class prior estimated as the share
-of label 1 among the labelled training rows (``prior`` overrides it; with positives only
-it is taken from the scores of positives and unlabelled texts after a first fit).
-Labelled training rows of both classes then only calibrate the output to a probability.
+over trusted positives and unlabelled texts.  Labelled negatives take no part: the class prior is
+estimated from positives and unlabelled texts alone, by the smallest ratio of their shares beyond
+a score (best bin estimation, with confidence bounds), on halves
+that a first fit has not seen, as a mean over several splits (``prior`` overrides it).
 
-The fit sees at most about ``max_labelled`` labelled and ``max_unlabelled`` unlabelled
-rows, dealt by a hash of the id; scoring is one pass over whole texts without a shuffle.
+Features come from one pass over whole texts.  Their means and scales are those of all texts of
+the training fold.  Of the unlabelled texts all count: they are dealt to 4,096 cells by the signs
+of random projections, and each cell is represented by up to ``per_cell`` of its texts, chosen by
+hash, which share the number of all its texts as their weight.  Only labelled rows are a plain
+sample, of at most about ``max_labelled`` rows by a hash of the id.
 
 Defined results: a null text counts as empty, an empty text has features of zero and gets
 a score like any other; labels that repeat count once, with the larger value, null labels
-not at all; an empty table gives an empty table; without labelled positives every score
-is 0.5.  Other columns pass through ``score_texts``; one named like the result is replaced.
+not at all; the result does not depend on the order or layout of rows; an empty table gives an
+empty table; without labelled positives every score is 0.5.  Other columns pass through
+``score_texts``; one named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -25,13 +29,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.storage import materialise
+
 SYMBOLS = b"!#$%&*|+/=<>@_~^`\"'()[]{};:-?"
 N_FEATURES = 22 + len(SYMBOLS)
+CELL_BITS, PER_CELL, PRIOR_SPLITS = 12, 8, 4
 
 
 def text_features(text: str | None) -> np.ndarray:
@@ -62,7 +70,7 @@ def text_features(text: str | None) -> np.ndarray:
 
 @dataclass
 class QualityModel:
-    """A fitted network: the mean and scale of features, two layers and the calibration."""
+    """A fitted network: the mean and scale of features, two layers and the class prior."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -70,31 +78,33 @@ class QualityModel:
     b1: np.ndarray
     w2: np.ndarray
     b2: float
-    slope: float = 1.0
-    shift: float = 0.0
     prior: float = 0.5
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(np.clip((x - self.mean) / self.scale, -8, 8) @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -40, 40)))
+        return _sigmoid(self.margin(x))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 1500, seed: int = 7) -> QualityModel:
-    """Minimise the non-negative risk by mini-batch Adam; where the negative part falls below zero its gradient is reversed."""
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, weight: np.ndarray | None = None, centre: tuple[np.ndarray, np.ndarray] | None = None, hidden: int = 24, steps: int = 1500, seed: int = 7) -> QualityModel:
+    """Minimise the non-negative risk by mini-batch Adam; where the negative part falls below zero its gradient is reversed.
+
+    ``weight`` tells how many texts each unlabelled row stands for, ``centre`` the mean and scale of the features.
+    """
     rng = np.random.default_rng(seed)
-    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
+    mean, scale = centre if centre is not None else (unlabelled.mean(0), unlabelled.std(0) + 1e-3)
+    share = np.cumsum(weight if weight is not None else np.ones(len(unlabelled)))
     m = QualityModel(mean, scale, rng.normal(0, 0.3, (positive.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 0.3, hidden), 0.0, prior=prior)
     xp, xu = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
     params = [m.w1, m.b1, m.w2, np.zeros(1)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
-        a, b = xp[rng.integers(0, len(xp), 1024)], xu[rng.integers(0, len(xu), 3072)]
+        a, b = xp[rng.integers(0, len(xp), 1024)], xu[np.minimum(np.searchsorted(share, rng.random(3072) * share[-1], "right"), len(xu) - 1)]
         x = np.concatenate([a, b])
         hid = np.tanh(x @ params[0] + params[1])
         z = hid @ params[2] + params[3]
@@ -114,29 +124,90 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden:
     return m
 
 
-def calibrate(model: QualityModel, x: np.ndarray, y: np.ndarray) -> None:
-    """Fit slope and shift of the log-odds to labelled rows by Newton steps."""
-    z = model.margin(x)
-    design, w = np.stack([z, np.ones_like(z)], 1), np.array([1.0, 0.0])
-    for _ in range(50):
-        p = _sigmoid(design @ w)
-        hess = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
-        w = w + np.clip(np.linalg.solve(hess, design.T @ (y - p) - 1e-3 * (w - [1, 0])), -2, 2)
-    if w[0] > 0:
-        model.slope, model.shift = float(w[0]), float(w[1])
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, weight: np.ndarray, delta: float = 0.1) -> float:
+    """Share of positives among unlabelled rows, from margins of rows that the model has not seen.
+
+    Beyond any threshold the unlabelled share is at least the prior times that of positives, so
+    their ratio bounds the prior from above; the threshold is where it has the least upper
+    confidence bound (level ``delta``), and one standard error is taken off.
+    """
+    cuts = np.unique(positive)
+    p = 1 - np.searchsorted(np.sort(positive), cuts, "left") / len(positive)
+    by = np.argsort(unlabelled, kind="stable")
+    total = np.concatenate([[0], np.cumsum(weight[by])])
+    u = 1 - total[np.searchsorted(unlabelled[by], cuts, "left")] / total[-1]
+    effective = weight.sum() ** 2 / (weight**2).sum()  # rows of equal weight that would be as sure
+    slack = np.sqrt(np.log(4 / delta) / 2) * (effective**-0.5 + len(positive) ** -0.5)
+    best = int(((u + slack) / p).argmin())
+    ratio = u[best] / p[best]
+    error = np.sqrt(u[best] * (1 - u[best]) / effective + ratio**2 * p[best] * (1 - p[best]) / len(positive)) / p[best]
+    return float(np.clip(ratio - error, 0.02, 0.98))
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, N_FEATURES).astype(np.float64)
 
 
-def _feature_rows(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of a bounded sample (text, quality), computed on the executors."""
+def feature_table(docs: DataFrame) -> DataFrame:
+    """doc_id and x (features of ``text`` as 32-bit floats) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [text_features(t).astype("<f8").tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1).cast(pa.int32())], ["x", "quality"])
+            x = [text_features(t).astype("<f4").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["doc_id", "x"])
 
-    rows = df.mapInArrow(run, "x binary, quality int").toArrow().to_pydict()
-    x = np.frombuffer(b"".join(rows["x"]), "<f8").reshape(-1, N_FEATURES)
-    return x, np.array([-1 if v is None else v for v in rows["quality"]])
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("x", T.BinaryType())]))
+
+
+def feature_moments(features: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, mean and scale of their features (a row for each feature reaches the driver)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, one, two = 0, np.zeros(N_FEATURES), np.zeros(N_FEATURES)
+        for batch in batches:
+            x = _matrix(batch.column(0))
+            n, one, two = n + len(x), one + x.sum(0), two + (x * x).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(N_FEATURES)), pa.array(np.full(N_FEATURES, n)), pa.array(one), pa.array(two)], ["k", "n", "one", "two"])
+
+    sums = features.select("x").mapInArrow(run, "k long, n long, one double, two double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("one").alias("one"), F.sum("two").alias("two"))
+    rows = sorted(sums.collect())
+    n = max(1, rows[0].n if rows else 1)
+    mean = np.round(np.array([r.one for r in rows] or np.zeros(N_FEATURES)) / n, 9)  # the order of the sums does not show
+    spread = np.array([r.two for r in rows] or np.zeros(N_FEATURES)) / n - mean**2
+    return (rows[0].n if rows else 0), mean, np.round(np.sqrt(np.maximum(spread, 0)), 6) + 1e-3
+
+
+def weighted_cells(features: DataFrame, mean: np.ndarray, scale: np.ndarray, per_cell: int = PER_CELL) -> tuple[np.ndarray, np.ndarray]:
+    """Features and weights of rows that stand for all rows: of each cell up to ``per_cell`` different ones, by hash."""
+    rng = np.random.default_rng(11)
+    planes, bits = rng.normal(size=(N_FEATURES, CELL_BITS)), 1 << np.arange(CELL_BITS)
+
+    def first(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values(["cell", "h", "x"], kind="stable")
+        d["n"] = d.groupby("cell")["n"].transform("sum")
+        d = d.drop_duplicates(["cell", "x"])
+        d = d[d.groupby("cell").cumcount() < per_cell].copy()
+        d["n"] = d["n"].where(~d.duplicated("cell"), 0)  # a cell's number stands with its first row
+        return d
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            x = batch.column(0).to_pylist()
+            cell = ((np.clip((_matrix(batch.column(0)) - mean) / scale, -8, 8) @ planes > 0) * bits).sum(1) if x else []
+            new = first(pd.DataFrame({"cell": cell, "h": [zlib.crc32(v) for v in x], "n": 1, "x": x}))
+            held = new if held is None else first(pd.concat([held, new]))
+        if held is not None and len(held):
+            yield pa.RecordBatch.from_pandas(held, schema=schema, preserve_index=False)
+
+    schema = pa.schema([("cell", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("x", pa.binary())])
+    kind = "cell long, h long, n long, x binary"
+    some = features.select("x").mapInArrow(deal, kind).groupBy("cell").applyInPandas(first, kind).toPandas()  # at most 4,096 * per_cell rows
+    some = some.sort_values(["cell", "h", "x"], kind="stable")
+    if not len(some):
+        return np.zeros((0, N_FEATURES)), np.zeros(0)
+    weight = some.groupby("cell")["n"].transform("sum") / some.groupby("cell")["x"].transform("size")
+    return _matrix(pa.array(some["x"].tolist(), pa.binary())), weight.to_numpy(np.float64)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -149,23 +220,44 @@ def _thin(df: DataFrame, bound: int, salt: int) -> DataFrame:
     return df if n <= bound else df.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 40)) < int((1 << 40) * bound / n))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_unlabelled: int = 30_000, prior: float | None = None) -> QualityModel | None:
-    """Fit on labelled rows outside the held-out fold, and on unlabelled texts of the same fold."""
-    train = labels.where(~held_out() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    marked = _thin(train, max_labelled, 1)
-    plain = _thin(docs.select("doc_id").where(~held_out()), max_unlabelled, 2).select("doc_id", F.lit(None).cast("int").alias("quality"))
-    picked = F.broadcast(marked.unionByName(plain))  # bounded by the two parameters
-    x, y = _feature_rows(docs.select("doc_id", "text").join(picked, "doc_id").select("text", "quality"))
-    if not (y == 1).any() or not (y == -1).any():
+def fit_features(features: DataFrame, labels: DataFrame, max_labelled: int = 20_000, prior: float | None = None) -> QualityModel | None:
+    """Fit on positives outside the held-out fold, and on all texts of the same fold; ``features`` should be a written table."""
+    fold = features.where(~held_out())
+    good = labels.where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
+    picked = F.broadcast(_thin(good, max_labelled, 1))  # bounded by the parameter
+    rows = sorted(r.x for r in fold.join(picked, "doc_id").select("x").collect())
+    n, mean, scale = feature_moments(fold)
+    if not rows or not n:
         return None
-    known = prior if prior is not None else float((y == 1).sum() / (y >= 0).sum()) if (y == 0).any() else None
-    model = fit_nnpu(x[y == 1], x[y == -1], known if known is not None else 0.5)
-    if known is None:  # positives only: how far unlabelled scores reach those of positives
-        guess = float(np.clip(model.score(x[y == -1]).mean() / max(1e-6, model.score(x[y == 1]).mean()), 0.05, 0.99))
-        model = fit_nnpu(x[y == 1], x[y == -1], guess)
-    if (y == 0).any():
-        calibrate(model, x[y >= 0], y[y >= 0])
-    return model
+    xp = _matrix(pa.array([bytes(r) for r in rows], pa.binary()))
+    xu, weight = weighted_cells(fold, mean, scale)
+    centre = (mean, scale)
+    if prior is None:
+        rng, found = np.random.default_rng(3), []
+        for _ in range(PRIOR_SPLITS):
+            p, u = (np.array_split(rng.permutation(len(x)), 2) for x in (xp, xu))
+            for k in (0, 1):  # each half is judged by the model of the other
+                if all(map(len, (*p, *u))):
+                    m = fit_nnpu(xp[p[1 - k]], xu[u[1 - k]], 0.5, weight[u[1 - k]], centre, steps=500)
+                    found.append(estimate_prior(m.margin(xp[p[k]]), m.margin(xu[u[k]]), weight[u[k]]))
+        prior = float(np.mean(found)) if found else 0.5
+    return fit_nnpu(xp, xu, prior, weight, centre)
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, prior: float | None = None) -> QualityModel | None:
+    """:func:`fit_features` over the texts of ``docs``."""
+    return fit_features(materialise(feature_table(docs), "features"), labels, max_labelled, prior)
+
+
+def score_features(features: DataFrame, model: QualityModel | None) -> DataFrame:
+    """doc_id and score of a :func:`feature_table`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = model.score(_matrix(batch.column(1))) if model else np.full(batch.num_rows, 0.5)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(y, pa.float64())], ["doc_id", "score"])
+
+    return features.select("doc_id", "x").mapInArrow(run, T.StructType([features.schema["doc_id"], T.StructField("score", T.DoubleType())]))
 
 
 def score_texts(docs: DataFrame, model: QualityModel | None, name: str = "score") -> DataFrame:
@@ -175,7 +267,7 @@ def score_texts(docs: DataFrame, model: QualityModel | None, name: str = "score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([text_features(t) for t in batch.column(at).to_pylist()]).reshape(-1, N_FEATURES)
+            x = np.array([text_features(t) for t in batch.column(at).to_pylist()], "<f4").reshape(-1, N_FEATURES).astype(np.float64)
             y = model.score(x) if model else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y, pa.float64())], [*kept, name])
 

@@ -55,11 +55,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.llm.quality import fit_quality, held_out, score_texts
+    from millrace.llm.quality import feature_table, fit_features, held_out, score_features
+    from millrace.storage import materialise
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    scored = score_texts(docs, model)
+    features = materialise(feature_table(table(spark, sf_dir, "documents")), "features")
+    scored = score_features(features, fit_features(features, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
@@ -112,8 +112,25 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def chat_mixed_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as JSON records of three layouts, with fields that no mapping names, read by their fingerprints."""
+    from millrace.llm.chat import canonical_records, canonical_turns
+
+    said = canonical_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    first, second = (F.get("turns", F.lit(k)) for k in (0, 1))
+    two = (F.size("turns") == 2) & (first["role"] == "user") & (second["role"] == "assistant")
+    messages = F.to_json(F.struct(F.col("conv_id").alias("id"), F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"), t["turn"].alias("weight"))).alias("messages")))
+    values = F.to_json(F.struct(F.transform("turns", lambda t: F.struct(t["role"].alias("from"), t["text"].alias("value"), F.lit("x").alias("name"))).alias("conversations")))
+    plain = F.to_json(F.struct(first["text"].alias("prompt"), second["text"].alias("completion"), F.struct(F.lit(1).alias("prompt")).alias("meta")))
+    kind = F.pmod("conv_id", F.lit(3))
+    records = said.select("conv_id", F.when(kind == 1, values).when((kind == 2) & two, plain).otherwise(messages).alias("record"))
+    flat = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return canonical_records(records).select("conv_id", "layout", F.size("turns").cast("long").alias("n_turns"), F.sha2(flat, 256).alias("turns_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    own = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return own | {"chat_mixed_layouts": chat_mixed_layouts}
 
 
 def oracle_sql() -> dict[str, str]:

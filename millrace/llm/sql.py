@@ -22,6 +22,13 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+SQL_chat_mixed_layouts = r"""
+WITH r AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS t FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN (conv_id % 3 + 3) % 3 = 1 THEN 'from_value' WHEN (conv_id % 3 + 3) % 3 = 2 AND len(t) = 2 AND t[1].role = 'user' AND t[2].role = 'assistant' THEN 'prompt_completion' ELSE 'messages' END AS layout,
+    len(t)::BIGINT AS n_turns, sha256(array_to_string(list_transform(t, lambda x: x.role || chr(10) || x.text || chr(10)), '')) AS turns_sha256
+FROM r
+"""
+
 SQL_op10_warc_index = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
 k AS (SELECT s, max(page_id) AS m FROM p GROUP BY s)
