@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.storage import materialise
+from millrace.storage import drop, materialise
 
 #: Kinds with their patterns.  Possessive runs that start at the start of a run (or where
 #: the last match ended) find the same matches as plain ones, in linear time on any text.
@@ -122,7 +122,9 @@ def disclosing(seen: DataFrame, threshold: float = 0.9, support: int = 3, eviden
     total = seen.count()
     joined = pairs.join(per_term, "term").withColumn("pmi", F.log(total * F.col("n_te") / (F.col("n_t") * F.col("n_e"))))
     shown = (F.col("n_e") < total) & (F.col("pmi") >= threshold * F.log(total / F.col("n_e"))) & (F.col("n_te") * F.col("pmi") >= evidence)
-    return joined.where(shown).select("entity", "term")
+    out = materialise(joined.where(shown).select("entity", "term"), "disclosing")
+    drop(per_entity, pairs, terms)
+    return out
 
 
 def all_spans(docs: DataFrame, threshold: float = 0.9, support: int = 3, evidence: float = 12.0) -> DataFrame:
@@ -131,6 +133,7 @@ def all_spans(docs: DataFrame, threshold: float = 0.9, support: int = 3, evidenc
     terms = materialise(disclosing(seen, threshold, support, evidence).select("term").distinct(), "disclosing")
     hits = seen.select("text_key", F.explode("words").alias("term")).join(_small(terms), "term")
     hits = materialise(hits.groupBy("text_key").agg(F.collect_set("term").alias("terms")), "hits")
+    drop(seen, terms)
     both = scan(docs).join(hits, "text_key", "left").withColumn("masked", F.when(F.col("terms").isNotNull(), F.expr(_masked())))
     more = F.expr(f"case when terms is null then {NONE} else cast(transform({_places('terms')}, t -> named_struct('kind', 'term', 'start', t.start, 'stop', t.stop, 'value', t.term)) as array<{SPAN}>) end")
     return both.select("row", "text", F.concat("spans", more).alias("spans"))
