@@ -2,9 +2,9 @@
 
 Archives hold one gzip member for each record, so any record can be read by its range.
 The index sorts captures by reversed-host URL key into zlib-compressed blocks of lines; a
-segment keeps the first key of each of its blocks (the sparse directory), and the first
-keys of segments are the only part that a driver sees: one key for some hundred thousand
-captures.  A lookup binary-searches the segments, the directory and the block, and then
+segment keeps the first key of each of its blocks (the sparse directory).  The driver sees the
+first keys of some thousand segments, however many there are.  A lookup binary-searches these, finds
+the segments in a join, and binary-searches the directory and the block; then it
 reads the record's range of the archive.
 
 Archives are cut by their bytes, and read in streams and ranges, so no file is held whole.
@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.storage import materialise, new_path
+from millrace.storage import drop, materialise, new_path
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-BLOCK_LINES, SEGMENT_BLOCKS = 1024, 256
+BLOCK_LINES, SEGMENT_BLOCKS, TOP_CUTS = 1024, 256, 4096
 FILE_BYTES, TASK_BYTES, STEP = 64 << 20, 64 << 20, 1 << 16
 
 
@@ -215,22 +215,24 @@ def build_index(found: DataFrame, block_lines: int = BLOCK_LINES, segment_blocks
 def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
     """key, file, offset, length of the captures of each of ``keys`` (key, without repeats).
 
-    Keys that fall into one segment travel in groups, so its blocks are carried once for a
-    group; a segment has a bounded number of captures, and so of keys.
+    The first keys of some segments cut the key space into parts; a segment stands in every part
+    that it reaches into, a key in one, and they meet by part.  Keys that fall into one segment
+    travel in groups, so its blocks are carried once for a group; a segment has a bounded number
+    of captures, and so of keys.
     """
-    tops = sorted((r.first_key, r.last_key, r.segment) for r in index.select("first_key", "last_key", "segment").collect())  # one row for each segment
-    firsts, lasts, names = [t[0] for t in tops], [t[1] for t in tops], [t[2] for t in tops]
+    tops = index.select("segment", "first_key", "last_key")
+    n = tops.count()
+    some = tops.where(F.pmod(F.xxhash64("segment"), F.lit(1 << 30)) < int((1 << 30) * min(1, TOP_CUTS / max(1, n))))
+    cuts = sorted(r.first_key for r in some.select("first_key").collect())  # about TOP_CUTS at most
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key in batch.column(0).to_pylist():
-                at = bisect.bisect_right(firsts, key) - 1
-                while at >= 0 and lasts[at] >= key:
-                    rows.append((key, names[at]))
-                    at -= 1
-            cols = list(zip(*rows, strict=True)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["key", "segment"])
+            low, high = ([bisect.bisect_right(cuts, k) for k in batch.column(c).to_pylist()] for c in (1, 2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["name", "first", "last", "low", "high"])
+
+    kind = "name string, first string, last string, low int, high int"
+    held = tops.mapInArrow(place, kind).select(F.col("name").alias("segment"), "first", "last", F.explode(F.sequence("low", "high")).alias("part"))
+    asked = keys.select("key", F.col("key").alias("a"), F.col("key").alias("b")).mapInArrow(place, kind).select(F.col("name").alias("key"), F.col("low").alias("part"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,7 +252,7 @@ def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "file", "offset", "length"])
 
-    routed = keys.select("key").mapInArrow(route, "key string, segment string")
+    routed = asked.join(held, "part").where("first <= key and key <= last").select("key", "segment")
     grouped = routed.groupBy("segment", F.expr("pmod(xxhash64(key), 16)")).agg(F.array_sort(F.collect_list("key")).alias("keys"))
     held = grouped.join(index.select("segment", "directory", "blocks"), "segment").select("keys", "directory", "blocks")
     return held.mapInArrow(find, "key string, file string, offset long, length long")
@@ -296,4 +298,6 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     folder = write_archives(plan_records(pages, min_bytes))
     found = materialise(captures(pages.sparkSession, folder), "captures")
     index = materialise(build_index(found), "cdx")
-    return read_captures(materialise(lookup(index, found.select("key").distinct()), "ranges"))
+    ranges = materialise(lookup(index, found.select("key").distinct()), "ranges")
+    drop(found, index)
+    return read_captures(ranges)
