@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a weighted transducer.
 
-Three transducers are compiled from the model file: the normaliser (dummy prefix, spaces to
-U+2581), the pieces (a set of character strings with ids), and the byte fallback (a character
+Three transducers are compiled from the model file: the normaliser (its character map, which takes
+the longest rule at each place; dummy prefix, spaces to U+2581), the pieces (a set of character strings with ids), and the byte fallback (a character
 without a piece becomes its UTF-8 bytes).  Their composition with a text is a lattice, whose
 shortest path in the tropical semiring is the encoding:
 
@@ -60,12 +60,58 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+class CharacterMap:
+    """The rules of a model's precompiled character map: at each place the longest rule applies, else a character stays.
+
+    The map is a double array over bytes (a node's unit has the label of the byte that leads to it,
+    an offset to its children and a mark of whether one is a value) and the texts that values point to.
+    """
+
+    def __init__(self, data: bytes):
+        size = int.from_bytes(data[:4], "little")
+        units, texts = np.frombuffer(data[4 : 4 + size], "<u4").astype(np.int64), data[4 + size :]
+        offsets = (units >> 10) << ((units & (1 << 9)) >> 6)
+        labels = units & 0x800000FF
+        every = np.arange(1, 256)
+        self.rules: dict[str, str] = {}
+        open_ = [(0 ^ int(offsets[0]), b"")]
+        while open_:
+            base, key = open_.pop()
+            at = base ^ every
+            for byte in every[(at < len(units)) & (labels[np.minimum(at, len(units) - 1)] == every)].tolist():
+                node = base ^ byte
+                here, found = node ^ int(offsets[node]), key + bytes([byte])
+                if units[node] >> 8 & 1:
+                    begin = int(units[here]) & 0x7FFFFFFF
+                    self.rules[found.decode()] = texts[begin : texts.index(b"\0", begin)].decode()
+                open_.append((here, found))
+        self.single = {ord(k): v for k, v in self.rules.items() if len(k) == 1}
+        self.later = {c for k in self.rules if len(k) > 1 for c in k[1:]}
+        self.longest: dict[str, int] = {}
+        for k in self.rules:
+            self.longest[k[0]] = max(self.longest.get(k[0], 0), len(k))
+
+    def __call__(self, text: str) -> str:
+        if self.later.isdisjoint(text):  # no rule of several characters can apply
+            return text.translate(self.single)
+        out, at = [], 0
+        while at < len(text):
+            for n in range(self.longest.get(text[at], 0), 0, -1):
+                if (found := self.rules.get(text[at : at + n])) is not None and at + n <= len(text):
+                    break
+            else:
+                n, found = 1, text[at]
+            out.append(found)
+            at += n
+        return "".join(out)
+
+
 class PieceTransducer:
     """The compiled model: ``encode`` gives ids, ``decode`` gives text."""
 
     def __init__(self, model: bytes):
         self.pieces: list[tuple[str, float, int]] = []
-        self.kind, self.prefix, self.squeeze = UNIGRAM, True, True
+        self.kind, self.prefix, self.squeeze, self.map = UNIGRAM, True, True, None
         for field, value in _fields(model):
             if field == 1:
                 piece = dict(_fields(value))
@@ -74,13 +120,16 @@ class PieceTransducer:
                 self.kind = dict(_fields(value)).get(3, UNIGRAM)
             elif field == 3:
                 rules = dict(_fields(value))
-                if rules.get(2):
-                    raise ValueError("normalisers with a character map are not supported")
+                self.map = CharacterMap(rules[2]) if rules.get(2) else None
                 self.prefix, self.squeeze = bool(rules.get(3, 1)), bool(rules.get(4, 1))
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError(f"model kind {self.kind} is not supported")
+        defined = sorted((p for p, _, k in self.pieces if k == DEFINED), key=len, reverse=True)
+        if defined and self.kind == UNIGRAM:
+            raise ValueError("unigram models with symbols of the user are not supported")
+        self.symbols = re.compile("(" + "|".join(map(re.escape, defined)) + ")").split if defined else None
         self.ids = {p: i for i, (p, _, k) in enumerate(self.pieces) if k in (NORMAL, DEFINED)}
-        self.scores = {p: s for p, s, k in self.pieces if k in (NORMAL, DEFINED)}
+        self.scores = {p: s for p, s, k in self.pieces if k == NORMAL}
         self.longest = max(map(len, self.ids), default=1)
         self.bytes = {int(p[1:-1], 16): i for i, (p, _, k) in enumerate(self.pieces) if k == BYTE}
         self.unknown = next((i for i, (_, _, k) in enumerate(self.pieces) if k == UNKNOWN), 0)
@@ -116,8 +165,12 @@ class PieceTransducer:
             marks -= mixed
 
     def normalise(self, text: str) -> str:
+        if self.map:  # symbols of the user stay as they are
+            text = "".join(x if k % 2 else self.map(x) for k, x in enumerate(self.symbols(text))) if self.symbols else self.map(text)
         if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
+            text = text.strip(" ")
+            if "  " in text:
+                text = re.sub("  +", " ", text)
         text = text.replace(" ", SPACE)
         return SPACE + text if self.prefix and text else text
 
@@ -231,6 +284,8 @@ class PieceTransducer:
     def _path(self, word: str) -> list[str]:
         """Pieces of the shortest path through the lattice of a word."""
         n = len(word)
+        if self.symbols and self.symbols(word)[1:2] == [word]:
+            return [word]
         if self.kind == BPE:
             if word.startswith(SPACE * 2):  # scores of these runs are equal, so merging is not local there
                 run = len(word) - len(word.lstrip(SPACE))
@@ -264,7 +319,8 @@ class PieceTransducer:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit bytes."""
-        words = self.words(self.normalise(text))
+        text = self.normalise(text)
+        words = [w for k, x in enumerate(self.symbols(text)) for w in ([x] if k % 2 else self.words(x))] if self.symbols else self.words(text)
         memo = self.memo
         try:
             return b"".join(map(memo.__getitem__, words))
