@@ -38,10 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.memory import trim
 from millrace.operators.graph import components
 from millrace.storage import drop, materialise
 
-WORDS, MEMO_WORDS, CHUNK, BATCH, BLOCK, BLOCK_BYTES = 5, 400_000, 256, 128, 256, 1 << 24
+WORDS, MEMO_WORDS, CHUNK, BATCH, BLOCK, BLOCK_BYTES = 5, 100_000, 256, 128, 256, 1 << 24
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 GRID = 1 << 16
 
@@ -200,6 +201,8 @@ def shingled(docs: DataFrame, saturation: float) -> DataFrame:
         n = len(seen)
         more = [pa.nulls(n, t) for t in (pa.int64(), pa.string(), pa.int64(), pa.binary())]
         yield pa.RecordBatch.from_arrays([*more, pa.array(np.array(list(seen), np.int64)), pa.array(list(seen.values()), pa.int64())], names)
+        shingles.memo.clear()
+        trim()
 
     names = ["node", "text_key", "id", "shingles", "s", "n"]
     alone = docs.groupBy("text_key").agg(F.min("id").alias("id"), F.first("text").alias("text"))

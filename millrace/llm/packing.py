@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.memory import trim
 from millrace.storage import materialise
 
 LEARN = 300  # words encoded in one call
@@ -114,6 +115,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) ->
                 cols = list(zip(*rows, strict=True)) or [[]] * 6
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [*NAMES, "row"])
+        coder = None
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES + ", row long")
 

@@ -29,17 +29,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.storage import materialise
+from millrace.llm.memory import trim
+from millrace.storage import drop, materialise
 
 SYMBOLS = b"!#$%&*|+/=<>@_~^`\"'()[]{};:-?"
 N_FEATURES = 22 + len(SYMBOLS)
-CELL_BITS, PER_CELL, PRIOR_SPLITS = 12, 8, 4
+CELL_BITS, PER_CELL, PRIOR_SPLITS, SLICE = 12, 8, 4, 256
 
 
 def text_features(text: str | None) -> np.ndarray:
@@ -153,8 +153,11 @@ def feature_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [text_features(t).astype("<f4").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["doc_id", "x"])
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                x = [text_features(t).astype("<f4").tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.binary())], ["doc_id", "x"])
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("x", T.BinaryType())]))
 
@@ -182,32 +185,51 @@ def weighted_cells(features: DataFrame, mean: np.ndarray, scale: np.ndarray, per
     rng = np.random.default_rng(11)
     planes, bits = rng.normal(size=(N_FEATURES, CELL_BITS)), 1 << np.arange(CELL_BITS)
 
-    def first(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values(["cell", "h", "x"], kind="stable")
-        d["n"] = d.groupby("cell")["n"].transform("sum")
-        d = d.drop_duplicates(["cell", "x"])
-        d = d[d.groupby("cell").cumcount() < per_cell].copy()
-        d["n"] = d["n"].where(~d.duplicated("cell"), 0)  # a cell's number stands with its first row
-        return d
+    def first(cell: np.ndarray, h: np.ndarray, n: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The first different rows of each cell by hash; a cell's number stands with the first of them."""
+        by = np.lexsort((x, h, cell))
+        cell, h, n, x = cell[by], h[by], n[by], x[by]
+        start = np.concatenate([[True], cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, bool)
+        total = np.bincount(np.cumsum(start) - 1, n) if len(cell) else n
+        new = start | np.concatenate([[True], x[1:] != x[:-1]])[: len(x)]
+        cell, h, x = cell[new], h[new], x[new]
+        start = np.flatnonzero(start[new])
+        rank = np.arange(len(cell)) - np.repeat(start, np.diff(start, append=len(cell)))
+        n = np.zeros(len(cell), np.int64)
+        n[start] = total
+        return tuple(a[rank < per_cell] for a in (cell, h, n, x))
+
+    def arrays(columns: list) -> tuple[np.ndarray, ...]:
+        return (*(np.asarray(c) for c in columns[:3]), np.frombuffer(b"".join(columns[3].to_pylist()), f"S{4 * N_FEATURES}"))
+
+    def rows(cell: np.ndarray, h: np.ndarray, n: np.ndarray, x: np.ndarray) -> list[pa.Array]:
+        width = 4 * N_FEATURES
+        data = x.tobytes()
+        return [pa.array(cell, pa.int64()), pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array([data[k : k + width] for k in range(0, len(data), width)], pa.binary())]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held = first(*arrays([[], [], [], pa.array([], pa.binary())]))
         for batch in batches:
-            x = batch.column(0).to_pylist()
-            cell = ((np.clip((_matrix(batch.column(0)) - mean) / scale, -8, 8) @ planes > 0) * bits).sum(1) if x else []
-            new = first(pd.DataFrame({"cell": cell, "h": [zlib.crc32(v) for v in x], "n": 1, "x": x}))
-            held = new if held is None else first(pd.concat([held, new]))
-        if held is not None and len(held):
-            yield pa.RecordBatch.from_pandas(held, schema=schema, preserve_index=False)
-
-    schema = pa.schema([("cell", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("x", pa.binary())])
-    kind = "cell long, h long, n long, x binary"
-    some = features.select("x").mapInArrow(deal, kind).groupBy("cell").applyInPandas(first, kind).toPandas()  # at most 4,096 * per_cell rows
-    some = some.sort_values(["cell", "h", "x"], kind="stable")
-    if not len(some):
+            cell = ((np.clip((_matrix(batch.column(0)) - mean) / scale, -8, 8) @ planes > 0) * bits).sum(1)
+            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), f"S{4 * N_FEATURES}")
+            h = np.array([zlib.crc32(v.as_buffer()) for v in batch.column(0)], np.int64)
+            held = first(*(np.concatenate(p) for p in zip(held, first(cell, h, np.ones(len(h), np.int64), x), strict=True)))
+        yield pa.RecordBatch.from_arrays(rows(*held), names)
+
+    names, kind = ["cell", "h", "n", "x"], "cell long, h long, n long, x binary"
+    dealt = materialise(features.select("x").mapInArrow(deal, kind), "cells")  # at most 4,096 * per_cell rows of each task
+    totals = dealt.groupBy("cell").agg(F.sum("n").alias("total"))
+    each = dealt.groupBy("cell", "h", "x").agg(F.count("*").alias("tasks"))
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy("h", "x"))
+    some = each.withColumn("rank", rank).where(F.col("rank") <= per_cell).join(totals, "cell")
+    found = some.select("cell", "h", F.when(F.col("rank") == 1, F.col("total")).otherwise(F.lit(0)).alias("n"), "x").toArrow()  # at most 4,096 * per_cell rows
+    drop(dealt)
+    cell, _, n, x = first(*arrays(found.combine_chunks().columns))
+    if not len(cell):
         return np.zeros((0, N_FEATURES)), np.zeros(0)
-    weight = some.groupby("cell")["n"].transform("sum") / some.groupby("cell")["x"].transform("size")
-    return _matrix(pa.array(some["x"].tolist(), pa.binary())), weight.to_numpy(np.float64)
+    at = np.unique(cell, return_inverse=True)[1]
+    weight = np.bincount(at, n) / np.bincount(at)
+    return np.frombuffer(x.tobytes(), "<f4").reshape(-1, N_FEATURES).astype(np.float64), weight[at]
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -267,9 +289,12 @@ def score_texts(docs: DataFrame, model: QualityModel | None, name: str = "score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([text_features(t) for t in batch.column(at).to_pylist()], "<f4").reshape(-1, N_FEATURES).astype(np.float64)
-            y = model.score(x) if model else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y, pa.float64())], [*kept, name])
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                x = np.array([text_features(t) for t in part.column(at).to_pylist()], "<f4").reshape(-1, N_FEATURES).astype(np.float64)
+                y = model.score(x) if model else np.full(len(x), 0.5)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(y, pa.float64())], [*kept, name])
+        trim()
 
     source = docs.select(*kept)
     return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(name, T.DoubleType())]))
