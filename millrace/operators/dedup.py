@@ -51,18 +51,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str, item: str, fe
 def ngram_overlap(docs: DataFrame, benchmark: DataFrame, doc: str, item: str, n: int = 5, least: float = 0.5, few: int = 100_000) -> DataFrame:
     """(doc, item, share): items of which a document holds at least a share ``least`` of the different runs of ``n`` words.
 
-    Up to ``few`` runs of items are looked up within the row of a text, so only hits leave it; more meet in a join.
+    Up to ``few`` runs of items are sent to the texts, so only hits are shuffled; more meet in a join.  Runs are
+    exploded by the expression that makes them: a filter on a column of them would be pushed below the words, and
+    the whole text would be split anew for each of its runs.
     """
     runs = lambda words: F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(n))))
-    grams = lambda words: F.when(F.size(words) >= n, F.array_distinct(runs(words)))
-    items = benchmark.select(F.col(item), tokens("text").alias("words")).where(f"size(words) >= {n}").select(item, grams("words").alias("own"))
+    grams = lambda df, key: df.select(key, tokens("text").alias("words")).select(key, F.explode(F.when(F.size("words") >= n, F.array_distinct(runs("words")))).alias("gram"))
+    items = grams(benchmark, item).where(F.col(item).isNotNull()).groupBy(item).agg(F.collect_set("gram").alias("own"))
     keyed = materialise(items.select(item, F.size("own").alias("n_own"), F.explode("own").alias("gram")), "item-grams")
-    d = docs.select(F.col(doc), tokens("text").alias("words")).where(f"size(words) >= {n}").select(doc, grams("words").alias("have"))
-    if keyed.count() <= few:
-        wanted = sorted({r.gram for r in keyed.select("gram").collect()})  # at most `few` rows
-        d = d.withColumn("have", F.filter("have", lambda g: g.isin(wanted)) if wanted else F.array().cast("array<bigint>")).where("size(have) > 0")
-        keyed = F.broadcast(keyed)
-    shared = d.select(doc, F.explode("have").alias("gram")).join(keyed, "gram").groupBy(doc, item).agg(F.count("*").alias("n"), F.max("n_own").alias("n_own"))
+    hits = grams(docs, doc).join(F.broadcast(keyed) if keyed.count() <= few else keyed, "gram")
+    shared = hits.groupBy(doc, item).agg(F.count_distinct("gram").alias("n"), F.max("n_own").alias("n_own"))
     return shared.where(F.col("n") >= least * F.col("n_own")).select(doc, item, F.round(F.col("n") / F.col("n_own"), 6).alias("share"))
 
 

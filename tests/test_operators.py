@@ -326,6 +326,26 @@ def test_ngram_overlap_by_join_equals_that_in_rows(spark):
         assert {(r.doc, r.item, r.share) for r in ngram_overlap(docs, items, "doc", "item", 5, 0.5, few).collect()} == {(1, 1, 0.666667), (4, 1, 1.0)}
 
 
+def test_ngram_overlap_splits_each_text_once(spark):
+    from millrace.operators.dedup import ngram_overlap
+
+    items = spark.createDataFrame([(1, "one two three four five six seven")], "item long, text string")
+    docs = spark.createDataFrame([(1, "one two three four five six")], "doc long, text string")
+    for few in (100, 0):
+        plan = ngram_overlap(docs, items, "doc", "item", 5, 0.5, few)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1
+
+
+def test_ngram_overlap_unites_rows_of_an_id(spark):
+    from millrace.operators.dedup import ngram_overlap
+
+    items = spark.createDataFrame([(1, "a b c d e f"), (1, "b c d e f g"), (1, "p q r s t u v w"), (None, "a b c d e")], "item long, text string")
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f g"), (2, "P Q R S T"), (None, "p q r s t u v w")], "doc long, text string")
+    for few in (100, 0):
+        got = {(r.doc, r.item, r.share) for r in ngram_overlap(docs, items, "doc", "item", 5, 0.5, few).collect()}
+        assert got == {(2, 1, 0.571429), (None, 1, 0.571429)}
+
+
 def test_cosine_ignores_length(spark):
     from millrace.operators.vectors import top_k
 
