@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.memory import trim
+from millrace.llm.memory import map_batches
 from millrace.operators.graph import components
 from millrace.storage import drop, materialise
 
@@ -201,13 +201,11 @@ def shingled(docs: DataFrame, saturation: float) -> DataFrame:
         n = len(seen)
         more = [pa.nulls(n, t) for t in (pa.int64(), pa.string(), pa.int64(), pa.binary())]
         yield pa.RecordBatch.from_arrays([*more, pa.array(np.array(list(seen), np.int64)), pa.array(list(seen.values()), pa.int64())], names)
-        shingles.memo.clear()
-        trim()
 
     names = ["node", "text_key", "id", "shingles", "s", "n"]
     alone = docs.groupBy("text_key").agg(F.min("id").alias("id"), F.first("text").alias("text"))
     alone = alone.select(F.monotonically_increasing_id().alias("node"), "text_key", "id", "text")
-    return alone.mapInArrow(cut, "node long, text_key string, id long, shingles binary, s long, n long")
+    return map_batches(alone, cut, "node long, text_key string, id long, shingles binary, s long, n long")
 
 
 def frequent_shingles(sets: DataFrame, total: int, saturation: float) -> dict[int, int]:
@@ -226,7 +224,7 @@ def frequent_shingles(sets: DataFrame, total: int, saturation: float) -> dict[in
                 n[at[keys[np.minimum(at, len(keys) - 1)] == s]] += 1
         yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n[:-1])], ["s", "n"])
 
-    counts = sets.where("text_key is not null").select("shingles").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > total / saturation)
+    counts = map_batches(sets.where("text_key is not null").select("shingles"), count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > total / saturation)
     return {r.s: r.n for r in counts.collect()}
 
 
@@ -252,7 +250,7 @@ def signatures(nodes: DataFrame, weights: Weights, bands: int, rows: int) -> Dat
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], lists, pa.array(sigs, pa.binary())], ["node", "size", "bands", "sig"])
 
-    return nodes.select("node", F.octet_length("shingles").alias("size"), "shingles").mapInArrow(run, "node long, size int, bands array<long>, sig binary")
+    return map_batches(nodes.select("node", F.octet_length("shingles").alias("size"), "shingles"), run, "node long, size int, bands array<long>, sig binary")
 
 
 def agreeing(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -265,7 +263,7 @@ def agreeing(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(keep)
 
     one, two = (sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return map_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b"), run, "a long, b long")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, weights: Weights, threshold: float) -> DataFrame:
@@ -287,7 +285,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, weights: Weights, threshold: fl
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = (nodes.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return map_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b"), run, "a long, b long")
 
 
 def with_pivots(buckets: DataFrame, pivots: DataFrame, many: int) -> DataFrame:
@@ -346,7 +344,7 @@ def between_components(named: DataFrame, mixed: DataFrame, sigs: DataFrame, node
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, x, y, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at, x, y, rows in (tuple(c[k].as_py() for c in batch.columns) for k in range(batch.num_rows)):  # one pair of blocks at a time
                 open_ = Open(rows, least)
                 held = [(side[k], side is open_.left) for side, col in ((open_.left, 0), (open_.right, 1)) for k in np.unique(open_.pairs[:, col])]
                 cols = [[at] * len(held), [x] * len(held), [y] * len(held), *([r[c] for r, _ in held] for c in ("node", "comp", "minor", "band")), [left for _, left in held]]
@@ -355,7 +353,7 @@ def between_components(named: DataFrame, mixed: DataFrame, sigs: DataFrame, node
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in batch.column(0).to_pylist():
+            for rows in (x.as_py() for x in batch.column(0)):
                 open_, parent, sets, a, b = Open(rows, least), {}, {}, [], []
 
                 def top(c: int) -> int:
@@ -388,10 +386,10 @@ def between_components(named: DataFrame, mixed: DataFrame, sigs: DataFrame, node
     right = d.select(*own, F.lit(False).alias("left"), every("minors").alias("x"), block("alls", 2).alias("y"))
     fields = ("node", "comp", "minor", "band", "left", "bands", "sig")
     met = left.unionByName(right).groupBy("bucket", "x", "y").agg(F.collect_list(F.struct(*fields)).alias("rows"))
-    near = materialise(met.select("bucket", "x", "y", "rows").mapInArrow(candidates, "bucket long, x int, y int, node long, comp long, minor boolean, band int, left boolean"), "near")
+    near = materialise(map_batches(met.select("bucket", "x", "y", "rows"), candidates, "bucket long, x int, y int, node long, comp long, minor boolean, band int, left boolean"), "near")
     held = near.join(sigs.select("node", "bands", "sig"), "node").join(nodes.select("node", "shingles"), "node")
     grouped = held.groupBy("bucket", "x", "y").agg(F.collect_list(F.struct(*fields, "shingles")).alias("rows"))
-    return grouped.select("rows").mapInArrow(links, "a long, b long").distinct()
+    return map_batches(grouped.select("rows"), links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 5, saturation: float = 10.0) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.memory import trim
+from millrace.llm.memory import map_batches
 from millrace.storage import materialise
 
 LEARN = 300  # words encoded in one call
@@ -115,10 +115,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) ->
                 cols = list(zip(*rows, strict=True)) or [[]] * 6
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [*NAMES, "row"])
-        coder = None
-        trim()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES + ", row long")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, PIECES + ", row long")
 
 
 Plan = list[tuple[list[tuple[int, int]], int]]
@@ -272,7 +270,7 @@ def place_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
                 off[at] = begin[slot] + j // times[slot] * x
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(off)], [*NAMES, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return map_batches(ranked, place, PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:

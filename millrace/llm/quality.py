@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.memory import trim
+from millrace.llm.memory import map_batches
 from millrace.storage import drop, materialise
 
 SYMBOLS = b"!#$%&*|+/=<>@_~^`\"'()[]{};:-?"
@@ -157,9 +157,8 @@ def feature_table(docs: DataFrame) -> DataFrame:
                 part = batch.slice(k, SLICE)
                 x = [text_features(t).astype("<f4").tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.binary())], ["doc_id", "x"])
-        trim()
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("x", T.BinaryType())]))
+    return map_batches(docs.select("doc_id", "text"), run, T.StructType([docs.schema["doc_id"], T.StructField("x", T.BinaryType())]))
 
 
 def feature_moments(features: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -172,7 +171,7 @@ def feature_moments(features: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
             n, one, two = n + len(x), one + x.sum(0), two + (x * x).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(N_FEATURES)), pa.array(np.full(N_FEATURES, n)), pa.array(one), pa.array(two)], ["k", "n", "one", "two"])
 
-    sums = features.select("x").mapInArrow(run, "k long, n long, one double, two double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("one").alias("one"), F.sum("two").alias("two"))
+    sums = map_batches(features.select("x"), run, "k long, n long, one double, two double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("one").alias("one"), F.sum("two").alias("two"))
     rows = sorted(sums.collect())
     n = max(1, rows[0].n if rows else 1)
     mean = np.round(np.array([r.one for r in rows] or np.zeros(N_FEATURES)) / n, 9)  # the order of the sums does not show
@@ -217,7 +216,7 @@ def weighted_cells(features: DataFrame, mean: np.ndarray, scale: np.ndarray, per
         yield pa.RecordBatch.from_arrays(rows(*held), names)
 
     names, kind = ["cell", "h", "n", "x"], "cell long, h long, n long, x binary"
-    dealt = materialise(features.select("x").mapInArrow(deal, kind), "cells")  # at most 4,096 * per_cell rows of each task
+    dealt = materialise(map_batches(features.select("x"), deal, kind), "cells")  # at most 4,096 * per_cell rows of each task
     totals = dealt.groupBy("cell").agg(F.sum("n").alias("total"))
     each = dealt.groupBy("cell", "h", "x").agg(F.count("*").alias("tasks"))
     rank = F.row_number().over(Window.partitionBy("cell").orderBy("h", "x"))
@@ -279,7 +278,7 @@ def score_features(features: DataFrame, model: QualityModel | None) -> DataFrame
             y = model.score(_matrix(batch.column(1))) if model else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(y, pa.float64())], ["doc_id", "score"])
 
-    return features.select("doc_id", "x").mapInArrow(run, T.StructType([features.schema["doc_id"], T.StructField("score", T.DoubleType())]))
+    return map_batches(features.select("doc_id", "x"), run, T.StructType([features.schema["doc_id"], T.StructField("score", T.DoubleType())]))
 
 
 def score_texts(docs: DataFrame, model: QualityModel | None, name: str = "score") -> DataFrame:
@@ -294,7 +293,6 @@ def score_texts(docs: DataFrame, model: QualityModel | None, name: str = "score"
                 x = np.array([text_features(t) for t in part.column(at).to_pylist()], "<f4").reshape(-1, N_FEATURES).astype(np.float64)
                 y = model.score(x) if model else np.full(len(x), 0.5)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(y, pa.float64())], [*kept, name])
-        trim()
 
     source = docs.select(*kept)
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(name, T.DoubleType())]))
+    return map_batches(source, run, T.StructType([*source.schema.fields, T.StructField(name, T.DoubleType())]))

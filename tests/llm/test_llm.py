@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -707,3 +708,26 @@ def test_pipeline(spark, sf_dir):
     assert kept[0] > kept[1] == kept[2] > 0
     assert not any(brute_spans(r.text) for r in docs.collect())
     assert pipeline.STAGES[-1][1](spark, docs, sf_dir).select("doc_id").distinct().count() == kept[2]
+
+
+def test_batches_to_workers_are_bounded_by_bytes(spark):
+    from millrace.llm.memory import BATCH_BYTES, BATCH_CONF
+    from millrace.llm.packing import token_pieces
+    from millrace.llm.quality import score_texts
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    was = spark.conf.get(BATCH_CONF)
+    try:
+        spark.conf.set(BATCH_CONF, "64m")
+        docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 800).alias("text"))
+        assert score_texts(docs, None).count() == 3000  # 12 MB of text, which was one batch
+        seen = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r.rows for r in seen) == 3000 and max(r.bytes for r in seen) <= 1.1 * BATCH_BYTES
+        spark.conf.set(BATCH_CONF, "100k")  # a smaller limit stays
+        token_pieces(docs, "none")
+        assert spark.conf.get(BATCH_CONF).startswith("100k") or spark.conf.get(BATCH_CONF).startswith(str(100 << 10))
+    finally:
+        spark.conf.set(BATCH_CONF, was)
